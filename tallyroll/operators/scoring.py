@@ -85,7 +85,8 @@ def match_items(pairs: DataFrame) -> DataFrame:
 
 
 def _length(items: Column) -> Column:
-    return F.when(items.isNull(), 0).otherwise(F.size(items))
+    """Element count; a missing list is empty."""
+    return F.greatest(F.coalesce(F.size(items), F.lit(0)), F.lit(0))
 
 
 def item_counts(pairs: DataFrame) -> DataFrame:
@@ -101,11 +102,11 @@ def item_counts(pairs: DataFrame) -> DataFrame:
         "*",
         _length(pred).alias("n_pred"),
         _length(gt).alias("n_gt"),
-        F.size("_both").alias("name_hits"),
-        F.size(
+        _length(F.col("_both")).alias("name_hits"),
+        _length(
             F.filter("_both", lambda b: numeric_match(b["p"]["price"], b["g"]["price"]))
         ).alias("total_hits"),
-        F.size(
+        _length(
             F.filter("_both", lambda b: b["p"]["quantity"] == b["g"]["quantity"])
         ).alias("qty_hits"),
     ).drop("_both")

@@ -189,7 +189,7 @@ def score_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     fields = [f for f in FIELDS if f.startswith("item_")]
     return scored.select(
         "receipt_id",
-        *[_r(f"{f}.f1").alias(f"{f}_f1") for f in fields],
+        *[_r(f"{f}.{p}").alias(f"{f}_{p}") for f in fields for p in S.PARTS[:3]],
         F.col("item_name.n_pred").alias("n_pred"),
         F.col("item_name.n_gt").alias("n_gt"),
     )
@@ -343,7 +343,7 @@ def _normalised(df: DataFrame) -> DataFrame:
         _r("receipt.subtotal").alias("subtotal"),
         F.when(F.col("receipt").isNotNull(), F.size("receipt.items")).alias("n_items"),
         F.element_at("receipt.items", -1)["line_number"].alias("last_line"),
-        F.round(item_totals, 2).alias("item_total"),
+        F.round(item_totals, 4).alias("item_total"),
         F.col("receipt.metadata.image_path").alias("image_path"),
         "error",
     )
@@ -415,7 +415,7 @@ def union_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     both = N.union_sources(common(sroie), common(cord))
     return both.groupBy(F.col("receipt.metadata.source").alias("source")).agg(
-        F.count("*").alias("n"), F.round(F.sum("receipt.total"), 2).alias("sum_total")
+        F.count("*").alias("n"), F.round(F.sum("receipt.total"), 3).alias("sum_total")
     )
 
 
