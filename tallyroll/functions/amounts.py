@@ -9,23 +9,30 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# White space as Python trims it, spelled out: Java's Unicode classes are slow.
+SPACE = r"\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 # Text that denotes a float: digits may be grouped with single underscores.
-_DIGITS = r"[0-9](?:_?[0-9])*"
-_FLOAT = rf"[+-]?(?:{_DIGITS}\.?(?:{_DIGITS})?|\.{_DIGITS})(?:[eE][+-]?{_DIGITS})?"
-FLOAT_TEXT = rf"(?U)^\s*({_FLOAT}|[+-]?(?i:inf|infinity|nan))\s*$"
-
-# Currency marks dropped in front of an evaluated amount.
-CURRENCY_PREFIX = r"(?i)^(?:Rp\.?|KRW|₩|\$|£|€)\s*"
+_DIGITS = r"[0-9]+(?:_[0-9]+)*"
+_FLOAT = (
+    rf"[+-]?(?:(?:{_DIGITS})\.?(?:{_DIGITS})?|\.{_DIGITS})(?:[eE][+-]?{_DIGITS})?"
+    r"|[+-]?(?i:inf|infinity|nan)"
+)
+FLOAT_TEXT = rf"^[{SPACE}]*({_FLOAT})[{SPACE}]*$"
+TRIMMED_FLOAT_TEXT = rf"^[{SPACE},.]*({_FLOAT})[{SPACE},.]*$"
 
 
 def strip(text: Column) -> Column:
     """Trim every kind of white space on both ends, not only blanks."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    return F.regexp_replace(text, rf"^[{SPACE}]+|[{SPACE}]+$", "")
+
+
+def _first_float(text: Column, pattern: str) -> Column:
+    return F.translate(F.regexp_extract(text, pattern, 1), "_", "").try_cast("double")
 
 
 def strict_double(text: Column) -> Column:
     """Text to double; NULL unless the whole (trimmed) text is one float."""
-    return F.translate(F.regexp_extract(text, FLOAT_TEXT, 1), "_", "").try_cast("double")
+    return _first_float(text, FLOAT_TEXT)
 
 
 def metric_number(text: Column) -> Column:
@@ -33,35 +40,40 @@ def metric_number(text: Column) -> Column:
     return strict_double(F.translate(text, ",$£", ""))
 
 
+# The parsers below run inside array lambdas, where nothing is shared between
+# branches, so each step names its input once.
+
+
 def locale_number(text: Column) -> Column:
-    """The last separator is the decimal one; a lone comma groups thousands; bad text is 0."""
-    body = strip(F.regexp_replace(strip(text), r"^[RrpP ]+", ""))
-    comma, dot = body.contains(","), body.contains(".")
-    plain = (
-        F.when(
-            comma & dot & body.rlike(r",[^.]*$"),
-            F.translate(F.translate(body, ".", ""), ",", "."),
-        )
-        .when(comma, F.translate(body, ",", ""))
-        .otherwise(body)
+    """The last separator is the decimal one; a lone comma groups thousands; bad text is 0.
+
+    A leading run of ``R r p P`` and blanks is dropped, then separators and
+    blanks at both ends.
+    """
+    body = F.regexp_extract(text, rf"(?s)^[{SPACE}]*[RrpP ]*(.*)$", 1)
+    decimal_comma = text.rlike(r"(?s)\..*,[^.]*$")
+    plain = F.when(decimal_comma, F.translate(body, ",.", ".")).otherwise(
+        F.translate(body, ",", "")
     )
-    return F.coalesce(strict_double(F.regexp_replace(plain, r"^[ ,.]+|[ ,.]+$", "")), F.lit(0.0))
+    return F.coalesce(_first_float(plain, TRIMMED_FLOAT_TEXT), F.lit(0.0))
 
 
 def cord_number(text: Column) -> Column:
-    """Drop a currency prefix and commas, keep digits, dots and signs; bad text is NULL."""
-    body = F.translate(F.regexp_replace(strip(text), CURRENCY_PREFIX, ""), ",", "")
+    """Drop a currency prefix and commas, keep digits, dots and signs; bad text is NULL.
+
+    Of the prefixes only ``Rp.`` holds a character that would otherwise stay.
+    """
+    body = F.regexp_replace(text, rf"(?i)^[{SPACE}]*Rp\.?", "")
     return strict_double(F.regexp_replace(body, r"[^0-9.+-]", ""))
 
 
 def serving_number(text: Column) -> Column:
     """Signs are lost and the *first* comma against the first dot decides; bad text is 0."""
     kept = F.regexp_replace(text, r"[^0-9.,]", "")
-    comma, dot = kept.contains(","), kept.contains(".")
     plain = (
-        F.when(comma & dot & (F.instr(kept, ",") < F.instr(kept, ".")), F.translate(kept, ",", ""))
-        .when(comma & dot, F.translate(F.translate(kept, ".", ""), ",", "."))
-        .otherwise(F.translate(kept, ",", "."))
+        F.when(text.rlike(r"^[^.,]*,[^.]*\."), F.translate(kept, ",", ""))
+        .when(text.contains(","), F.translate(kept, ",.", "."))
+        .otherwise(kept)
     )
     return F.coalesce(strict_double(plain), F.lit(0.0))
 

@@ -74,12 +74,16 @@ def menu_elements(menu: Column) -> Column:
 
 def _menu_items(menu: Column, build) -> Column:
     """Items with 1-based line numbers; entries that are no object are skipped but counted."""
-    made = F.transform(
+    read = F.transform(
         menu_elements(menu),
-        lambda raw, i: F.when(
-            raw.startswith("{"), build(F.from_json(raw, _LINE), raw, i + 1)
+        lambda raw: F.struct(
+            raw.alias("raw"), F.when(raw.startswith("{"), F.from_json(raw, _LINE)).alias("m")
         ),
     )
+    # Each entry is parsed once: the second pass only reads fields of the first one's struct.
+    made = F.transform(
+        read, lambda e, i: F.when(e["m"].isNotNull(), build(e["m"], e["raw"], i + 1))
+    )
     return F.filter(made, lambda item: item.isNotNull())
 
 

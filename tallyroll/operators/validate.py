@@ -60,36 +60,93 @@ def _not_integer(doc: Column, path: str, least: int | None = None) -> Column:
     return F.coalesce(bad, F.lit(False))
 
 
-def _elements(doc: Column, path: str) -> Column:
-    found = F.try_variant_get(doc, f"$.{path}", "array<variant>")
-    return F.coalesce(found, F.array().cast("array<variant>"))
-
-
 def _any(*conditions: Column) -> Column:
     return reduce(lambda a, b: a | b, conditions)
 
 
-def _some(doc: Column, path: str, broken) -> Column:
-    return F.exists(_elements(doc, path), broken)
+def _not_object(row: Column) -> Column:
+    return ~F.coalesce(_is(F.schema_of_variant(row), "^OBJECT"), F.lit(False))
+
+
+NULL_OR_TEXT = "^(VOID|STRING)$"
+NULL_OR_NUMBER = f"{NUMBER}|^VOID$"
+
+# Message and test per element of a list.
+ITEM_RULES = (
+    ("items must hold objects", _not_object),
+    (
+        "item needs line_number, name and total",
+        lambda i: _any(*[_missing(i, f) for f in ("line_number", "name", "total")]),
+    ),
+    ("line_number must be an integer from 1", lambda i: _not_integer(i, "line_number", 1)),
+    (
+        "item text fields must be text",
+        lambda i: _any(
+            _wrong(i, "name", "^STRING$"),
+            *[_wrong(i, f, NULL_OR_TEXT) for f in ("normalized_name", "sku", "category", "tax_code")],
+        ),
+    ),
+    ("quantity must be a number", lambda i: _wrong(i, "quantity", NUMBER)),
+    ("unit is not known", lambda i: _not_in(i, "unit", UNITS)),
+    (
+        "item amounts must be numbers",
+        lambda i: _any(
+            _wrong(i, "total", NUMBER),
+            *[_wrong(i, f, NULL_OR_NUMBER) for f in ("unit_price", "discount_applied")],
+        ),
+    ),
+)
+DISCOUNT_RULES = (
+    (
+        "discounts are malformed",
+        lambda d: _any(
+            _not_object(d),
+            _missing(d, "description"),
+            _missing(d, "amount"),
+            _wrong(d, "description", "^STRING$"),
+            _wrong(d, "amount", NUMBER),
+            _wrong(d, "applies_to_line", "^VOID$") & _not_integer(d, "applies_to_line"),
+        ),
+    ),
+)
+TAX_RULES = (
+    (
+        "taxes are malformed",
+        lambda t: _any(
+            _not_object(t),
+            _missing(t, "rate"),
+            _missing(t, "amount"),
+            _wrong(t, "label", "^STRING$"),
+            _wrong(t, "rate", NUMBER),
+            _wrong(t, "amount", NUMBER),
+        ),
+    ),
+)
+LISTS = {"items": ITEM_RULES, "discounts": DISCOUNT_RULES, "taxes": TAX_RULES}
 
 
-def _bad_amount_row(row: Column, texts: tuple[str, ...], numbers: tuple[str, ...], required) -> Column:
-    return _any(
-        ~F.coalesce(_is(F.schema_of_variant(row), "^OBJECT"), F.lit(False)),
-        *[_missing(row, f) for f in required],
-        *[_wrong(row, f, "^STRING$") for f in texts],
-        *[_wrong(row, f, NUMBER) for f in numbers],
+def _element_flags(doc: Column, path: str) -> Column:
+    """Per element one flag per rule of its list, so every element is read in one pass."""
+    found = F.try_variant_get(doc, f"$.{path}", "array<variant>")
+    tests = LISTS[path]
+    return F.transform(
+        found, lambda e: F.struct(*[test(e).alias(f"r{n}") for n, (_, test) in enumerate(tests)])
     )
 
 
-def rules(doc: Column) -> list[tuple[str, Column]]:
-    """Message and the condition under which it applies."""
-    null_or = "^(VOID|STRING)$"
-    item_missing = lambda i: _any(*[_missing(i, f) for f in ("line_number", "name", "total")])
-    found: list[tuple[str, Column]] = []
-    for field in REQUIRED:
-        found.append((f"{field} is required", _missing(doc, field)))
-    found += [
+def _rules(doc: Column, flags: dict[str, Column]) -> list[tuple[str, Column]]:
+    """Message and the condition under which it applies, in rule order."""
+
+    def some(path: str) -> list[tuple[str, Column]]:
+        # An array of structs yields the array of one field's values.
+        return [
+            (msg, F.coalesce(F.array_contains(flags[path][f"r{n}"], True), F.lit(False)))
+            for n, (msg, _) in enumerate(LISTS[path])
+        ]
+
+    (discounts, bad_discount), (taxes, bad_tax) = some("discounts")[0], some("taxes")[0]
+    return [
+        *[(f"{field} is required", _missing(doc, field)) for field in REQUIRED],
         ("store must be an object", _wrong(doc, "store", "^OBJECT")),
         (
             "store.name is required",
@@ -98,64 +155,25 @@ def rules(doc: Column) -> list[tuple[str, Column]]:
         ("store.name must be text", _wrong(doc, "store.name", "^STRING$")),
         (
             "store fields must be text or null",
-            _any(*[_wrong(doc, f"store.{f}", null_or) for f in ("branch", "address", "phone", "vat_number")]),
-        ),
-        ("date must be text", _wrong(doc, "date", "^STRING$")),
-        ("header fields must be text or null", _any(*[_wrong(doc, f, null_or) for f in NULLABLE_TEXT])),
-        ("items must be a list", _wrong(doc, "items", "^ARRAY")),
-        (
-            "items must not be empty",
-            F.coalesce(
-                F.size(F.try_variant_get(doc, "$.items", "array<variant>")) == 0, F.lit(False)
-            ),
-        ),
-        (
-            "items must hold objects",
-            _some(doc, "items", lambda i: ~F.coalesce(_is(F.schema_of_variant(i), "^OBJECT"), F.lit(False))),
-        ),
-        ("item needs line_number, name and total", _some(doc, "items", item_missing)),
-        ("line_number must be an integer from 1", _some(doc, "items", lambda i: _not_integer(i, "line_number", 1))),
-        (
-            "item text fields must be text",
-            _some(
-                doc,
-                "items",
-                lambda i: _any(
-                    _wrong(i, "name", "^STRING$"),
-                    *[_wrong(i, f, null_or) for f in ("normalized_name", "sku", "category", "tax_code")],
-                ),
-            ),
-        ),
-        ("quantity must be a number", _some(doc, "items", lambda i: _wrong(i, "quantity", NUMBER))),
-        ("unit is not known", _some(doc, "items", lambda i: _not_in(i, "unit", UNITS))),
-        (
-            "item amounts must be numbers",
-            _some(
-                doc,
-                "items",
-                lambda i: _any(
-                    _wrong(i, "total", NUMBER),
-                    *[_wrong(i, f, f"{NUMBER}|^VOID$") for f in ("unit_price", "discount_applied")],
-                ),
-            ),
-        ),
-        (
-            "discounts are malformed",
-            _wrong(doc, "discounts", "^ARRAY")
-            | _some(
-                doc,
-                "discounts",
-                lambda d: _bad_amount_row(d, ("description",), ("amount",), ("description", "amount"))
-                | (_wrong(d, "applies_to_line", "^VOID$") & _not_integer(d, "applies_to_line")),
+            _any(
+                *[
+                    _wrong(doc, f"store.{f}", NULL_OR_TEXT)
+                    for f in ("branch", "address", "phone", "vat_number")
+                ]
             ),
         ),
+        ("date must be text", _wrong(doc, "date", "^STRING$")),
         (
-            "taxes are malformed",
-            _wrong(doc, "taxes", "^ARRAY")
-            | _some(doc, "taxes", lambda t: _bad_amount_row(t, ("label",), ("rate", "amount"), ("rate", "amount"))),
+            "header fields must be text or null",
+            _any(*[_wrong(doc, f, NULL_OR_TEXT) for f in NULLABLE_TEXT]),
         ),
+        ("items must be a list", _wrong(doc, "items", "^ARRAY")),
+        ("items must not be empty", F.coalesce(F.size(flags["items"]) == 0, F.lit(False))),
+        *some("items"),
+        (discounts, _wrong(doc, "discounts", "^ARRAY") | bad_discount),
+        (taxes, _wrong(doc, "taxes", "^ARRAY") | bad_tax),
         ("total must be a number", _wrong(doc, "total", NUMBER)),
-        ("subtotal must be a number or null", _wrong(doc, "subtotal", f"{NUMBER}|^VOID$")),
+        ("subtotal must be a number or null", _wrong(doc, "subtotal", NULL_OR_NUMBER)),
         (
             "currency must be three capitals",
             _wrong(doc, "currency", "^STRING$") | _off_pattern(doc, "currency", "^[A-Z]{3}$"),
@@ -164,14 +182,12 @@ def rules(doc: Column) -> list[tuple[str, Column]]:
         ("payment.method is not known", _not_in(doc, "payment.method", PAYMENT_METHODS)),
         (
             "payment.card_last4 must be four digits or null",
-            _wrong(doc, "payment.card_last4", null_or)
+            _wrong(doc, "payment.card_last4", NULL_OR_TEXT)
             | _off_pattern(doc, "payment.card_last4", "^[0-9]{4}$"),
         ),
         (
             "payment amounts must be numbers or null",
-            _any(
-                *[_wrong(doc, f"payment.{f}", f"{NUMBER}|^VOID$") for f in ("amount_tendered", "change_given")]
-            ),
+            _any(*[_wrong(doc, f"payment.{f}", NULL_OR_NUMBER) for f in ("amount_tendered", "change_given")]),
         ),
         (
             "loyalty is malformed",
@@ -187,26 +203,30 @@ def rules(doc: Column) -> list[tuple[str, Column]]:
                 _wrong(doc, "metadata", "^OBJECT"),
                 _not_in(doc, "metadata.source", SOURCES),
                 *[_wrong(doc, f"metadata.{f}", "^STRING$") for f in ("annotator", "captured_at")],
-                *[_wrong(doc, f"metadata.{f}", null_or) for f in ("device", "notes", "image_path")],
+                *[_wrong(doc, f"metadata.{f}", NULL_OR_TEXT) for f in ("device", "notes", "image_path")],
             ),
         ),
     ]
-    return found
 
 
-def violations(json: Column) -> Column:
-    """Every rule message the JSON text breaks, in rule order; empty when valid."""
-    doc = F.try_parse_json(json)
-    readable = F.coalesce(_is(F.schema_of_variant(doc), "^OBJECT"), F.lit(False))
-    broken = F.array_compact(F.array(*[F.when(test, F.lit(msg)) for msg, test in rules(doc)]))
-    return F.when(readable, broken).otherwise(F.array(F.lit("not a JSON object")))
+def violations(df: DataFrame, json: str = "json", name: str = "violations") -> DataFrame:
+    """Adds every rule message the JSON text breaks, in rule order; empty when valid.
+
+    The text is parsed once per row and each list is walked once.
+    """
+    flags = {path: F.col(f"_{path}") for path in LISTS}
+    parsed = df.withColumn("_doc", F.try_parse_json(json))
+    walked = parsed.withColumns({f"_{p}": _element_flags(F.col("_doc"), p) for p in LISTS})
+    broken = F.array_compact(
+        F.array(*[F.when(test, F.lit(msg)) for msg, test in _rules(F.col("_doc"), flags)])
+    )
+    checked = F.when(_not_object(F.col("_doc")), F.array(F.lit("not a JSON object"))).otherwise(broken)
+    return walked.withColumn(name, checked).drop("_doc", *[f"_{p}" for p in LISTS])
 
 
 def validate(df: DataFrame, json: str = "json") -> DataFrame:
     """Adds ``violations`` and ``valid``."""
-    return df.withColumn("violations", violations(F.col(json))).withColumn(
-        "valid", F.size("violations") == 0
-    )
+    return violations(df, json).withColumn("valid", F.size("violations") == 0)
 
 
 def presence(json: Column) -> dict[str, Column]:

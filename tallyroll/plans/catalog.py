@@ -21,7 +21,7 @@ from ..operators import scoring as S
 from ..operators import validate as V
 from ..schema import FIELDS, OVERALL_FIELDS, RECEIPT
 from ..session import fresh_dir
-from ..sources import shards
+from ..sources import annotations, shards
 from ..streaming import jobs as stream
 from . import fixtures as fx
 from . import raw
@@ -349,16 +349,29 @@ def _normalised(df: DataFrame) -> DataFrame:
     )
 
 
+def _cord_snapshot(spark: SparkSession, gt: DataFrame) -> DataFrame:
+    """S3, F2: the raw corpus as stored, every 37th row without an image."""
+    stored = raw.cord_raw(gt).drop("body").withColumn(
+        "image", F.when(F.col("order_key") % 37 != 0, F.col("image"))
+    )
+    return annotations.read_cord(spark, raw.snapshot(stored, "cord"))
+
+
+def _sroie_snapshot(spark: SparkSession, gt: DataFrame) -> DataFrame:
+    """S4."""
+    return annotations.read_sroie(spark, raw.snapshot(raw.sroie_raw(gt), "sroie"))
+
+
 @query
 def normalize_cord(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """P2, P6, P17, P22, N2, N5, N6."""
-    return _normalised(N.normalize_cord(raw.cord_raw(fx.receipts_gt(spark, sf_dir))))
+    """S3, F2, P2, P6, P17, P22, N2, N5, N6."""
+    return _normalised(N.normalize_cord(_cord_snapshot(spark, fx.receipts_gt(spark, sf_dir))))
 
 
 @query
 def normalize_sroie(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """P1, P17, P22, T4f."""
-    return _normalised(N.normalize_sroie(raw.sroie_raw(fx.receipts_gt(spark, sf_dir))))
+    """S4, P1, P17, P22, T4f."""
+    return _normalised(N.normalize_sroie(_sroie_snapshot(spark, fx.receipts_gt(spark, sf_dir))))
 
 
 def _remapped(df: DataFrame) -> DataFrame:
@@ -405,8 +418,8 @@ def remap_serving(spark: SparkSession, sf_dir: str) -> DataFrame:
 def union_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Both corpora together, counted by source."""
     gt = fx.receipts_gt(spark, sf_dir)
-    sroie = N.normalize_sroie(raw.sroie_raw(gt)).filter("error IS NULL")
-    cord = N.normalize_cord(raw.cord_raw(gt)).filter("error IS NULL")
+    sroie = N.normalize_sroie(_sroie_snapshot(spark, gt)).filter("error IS NULL")
+    cord = N.normalize_cord(_cord_snapshot(spark, gt)).filter("error IS NULL")
     common = lambda df: df.withColumn(
         "receipt",
         F.struct(
@@ -450,7 +463,7 @@ def extraction_outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("order_key")
     kind = F.when(key % 10 == 1, "text/plain").when(key % 10 != 2, "image/jpeg")
     error = F.when(key % 10 == 3, "decoder failed")
-    checked = _receipt_texts(spark, sf_dir).withColumn("problems", V.violations(F.col("json")))
+    checked = V.violations(_receipt_texts(spark, sf_dir), name="problems")
     codes = checked.select(V.outcome(kind, key % 10 != 4, error, F.col("problems")).alias("status_code"))
     return codes.groupBy("status_code").agg(F.count("*").alias("n"))
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .fixtures import large_orders, PAGE_LINES, receipts_gt, table
+from ..session import fresh_dir
+from .fixtures import PAGE_LINES, large_orders, receipts_gt, table
 
 
 def receipt_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,13 +51,21 @@ def _list(parts: Column) -> Column:
     return F.concat(F.lit("["), F.array_join(parts, ","), F.lit("]"))
 
 
+def snapshot(df: DataFrame, label: str) -> str:
+    """A raw corpus written once to the shared folder; returns its path."""
+    path = fresh_dir(df.sparkSession, label)
+    df.write.parquet(path)
+    return path
+
+
 def cord_raw(gt: DataFrame, notes: bool = True) -> DataFrame:
-    """``receipt_id, order_key, ordinal, ground_truth``: line items as printed text, amounts in mixed styles.
+    """``receipt_id, order_key, ordinal, image, ground_truth, body``: lines as printed text.
 
-    A single line is a bare object. With ``notes`` every 9th order has a text entry
-    before its lines and every 23rd a null ``sub_total``.
+    Amounts come in mixed styles and a single line is a bare object. With
+    ``notes`` every 9th order has a text entry before its lines and every 23rd a
+    null ``sub_total``. ``ground_truth`` wraps every second ``body``.
     """
-    key, style = F.col("order_key"), F.col("order_key") % 8
+    key = F.col("order_key")
 
     def line(i: Column, n: Column) -> Column:
         kind = (F.col("order_key") + n) % 5
@@ -65,36 +74,47 @@ def cord_raw(gt: DataFrame, notes: bool = True) -> DataFrame:
             F.when(kind == 0, F.lit('"cnt":""'))
             .when(kind == 1, F.lit('"cnt":"x2"'))
             .when(kind == 2, _pair("cnt", _quoted(i["quantity"].cast("string")))),
-            F.when(kind != 3, _pair("unitprice", _quoted(amount_text(i["total"] / 2, style)))),
-            _pair("price", _quoted(amount_text(i["total"], style))),
+            F.when(kind != 3, _pair("unitprice", _quoted(amount_text(i["total"] / 2, key % 8)))),
+            _pair("price", _quoted(amount_text(i["total"], key % 8))),
         )
 
     entries = F.transform("items", line)
     if notes:
-        noted = F.concat(F.array(F.lit('"note"')), entries)
-        entries = F.when(key % 9 == 0, noted).otherwise(entries)
-    menu = F.when(F.size(entries) == 1, entries[0]).otherwise(_list(entries))
-    sub = F.when(
-        key % 23 == 0, F.lit("null" if notes else "{}")
-    ).otherwise(
+        entries = F.concat(
+            F.when(key % 9 == 0, F.array(F.lit('"note"'))).otherwise(
+                F.array().cast("array<string>")
+            ),
+            entries,
+        )
+    menu = F.when(F.size("_entries") == 1, F.col("_entries")[0]).otherwise(_list(F.col("_entries")))
+    sub = F.when(key % 23 == 0, F.lit("null" if notes else "{}")).otherwise(
         _object(
             F.when(key % 6 != 0, _pair("storenm", _quoted(F.col("store_name")))),
-            _pair("subtotal_price", _quoted(amount_text(F.col("total"), style))),
+            _pair("subtotal_price", _quoted(F.col("_total"))),
         )
     )
     body = _object(
         _pair("menu", menu),
         _pair("sub_total", sub),
-        _pair("total", _object(_pair("total_price", _quoted(amount_text(F.col("total"), style))))),
+        _pair("total", _object(_pair("total_price", _quoted(F.col("_total"))))),
     )
-    wrapped = F.when(key % 2 == 0, _object(_pair("gt_parse", body))).otherwise(body)
-    return gt.select(
-        "receipt_id", "order_key", F.col("order_key").alias("ordinal"), wrapped.alias("ground_truth"), body.alias("body")
+    staged = gt.withColumns(
+        {"_entries": entries, "_total": amount_text(F.col("total"), key % 8)}
+    ).withColumn("body", body)
+    return staged.select(
+        "receipt_id",
+        "order_key",
+        key.alias("ordinal"),
+        F.encode(key.cast("string"), "UTF-8").alias("image"),
+        F.when(key % 2 == 0, _object(_pair("gt_parse", F.col("body"))))
+        .otherwise(F.col("body"))
+        .alias("ground_truth"),
+        "body",
     )
 
 
 def sroie_raw(gt: DataFrame) -> DataFrame:
-    """``receipt_id, ordinal, parsed_data``: company, date and total with gaps and bad totals."""
+    """``receipt_id, ordinal, image, parsed_data``: company, date and total with gaps and bad totals."""
     key = F.col("order_key")
     body = _object(
         F.when(key % 7 == 1, F.lit('"company":null'))
@@ -106,7 +126,12 @@ def sroie_raw(gt: DataFrame) -> DataFrame:
         .when(key % 11 != 2, _pair("total", F.col("total").cast("string"))),
     )
     text = F.when(key % 29 == 0, F.lit("{broken")).when(key % 31 == 0, F.lit("")).otherwise(body)
-    return gt.select("receipt_id", F.col("order_key").alias("ordinal"), text.alias("parsed_data"))
+    return gt.select(
+        "receipt_id",
+        key.alias("ordinal"),
+        F.encode(key.cast("string"), "UTF-8").alias("image"),
+        text.alias("parsed_data"),
+    )
 
 
 def receipt_json(gt: DataFrame, defects: bool = True) -> DataFrame:
@@ -234,10 +259,6 @@ def uploads(documents: DataFrame) -> DataFrame:
     )
 
 
-def events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return file_stream(spark, sf_dir, "events")
-
-
 def file_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A driver table as a file stream."""
     schema = table(spark, sf_dir, name).schema

@@ -65,7 +65,7 @@ def extract(
     mapped = remap_serving(
         parsed.withColumn("error", F.coalesce("error", bad)).withColumn("payload", F.col("_r.payload"))
     ).withColumn("json", F.to_json("receipt"))
-    checked = mapped.withColumn("problems", violations(F.col("json")))
+    checked = violations(mapped, name="problems")
     code = outcome(F.col("content_type"), F.lit(True), F.col("error"), F.col("problems"))
     return checked.select("job_id", code.alias("status_code"), "error", "problems", "json")
 
