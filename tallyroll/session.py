@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -17,6 +19,22 @@ DEFAULT_CONF = {
 }
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable in the Python workers; needed where it is not installed."""
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    root = Path(__file__).resolve().parent
+    archive = shutil.make_archive(
+        f"{tempfile.mkdtemp(prefix='tallyroll-')}/{root.name}", "zip", root.parent, root.name
+    )
+    spark.sparkContext.addPyFile(archive)
+    _SHIPPED.add(app)
+
+
 def build_session(master: str, app: str = "tallyroll", **conf: str) -> SparkSession:
     """A session with the defaults above; ``conf`` keys use ``_`` for ``.``."""
     builder = SparkSession.builder.master(master).appName(app)
@@ -24,7 +42,9 @@ def build_session(master: str, app: str = "tallyroll", **conf: str) -> SparkSess
         builder = builder.config(key, value)
     for key, value in conf.items():
         builder = builder.config(key.replace("_", "."), value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship_package(spark)
+    return spark
 
 
 def shared_dir(spark: SparkSession) -> str:
