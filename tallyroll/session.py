@@ -58,7 +58,6 @@ def shared_dir(spark: SparkSession) -> str:
         named = handle.get() if handle.isDefined() else None
     if not named:
         named = tempfile.mkdtemp(prefix="tallyroll-")
-        spark.conf.set("spark.checkpoint.dir", named)
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(named)
     return named

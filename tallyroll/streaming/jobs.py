@@ -18,12 +18,14 @@ from ..operators.predict import Runner, predict
 from ..operators.validate import outcome, violations
 
 RESULT_LIFE = "24 hours"
+FILE_COLUMNS = "path string, modificationTime timestamp, length bigint, content binary"
 
 
 def submissions(spark: SparkSession, path: str, files_per_trigger: int = 1000) -> DataFrame:
     """One row per new image file: ``job_id, path, content_type, content``."""
     files = (
         spark.readStream.format("binaryFile")
+        .schema(FILE_COLUMNS)
         .option("recursiveFileLookup", "true")
         .option("maxFilesPerTrigger", files_per_trigger)
         .load(path)
