@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -11,21 +13,28 @@ from ..session import shared_dir
 _ROW_BITS = 33  # monotonically_increasing_id keeps the row number in the low 33 bits
 
 
-def dense_ordinal(df: DataFrame, *order: Column | str, name: str = "ordinal") -> DataFrame:
+def dense_ordinal(
+    df: DataFrame, *order: Column | str, name: str = "ordinal", unique: bool = False
+) -> DataFrame:
     """0-based position of every row in ``order``.
 
     Rows are range-partitioned and sorted once; the sorted rows are written to
     the reliable checkpoint folder, so the per-partition counts and the rows
     they number can never come from two different runs of a lost task. Only the
-    counts, one row per partition, are broadcast. A last random-access key
-    (the scan position) splits runs of equal rows over several partitions.
+    counts, one row per partition, are broadcast.
+
+    Unless the order is ``unique``, a tie-breaking row number is fixed first, in
+    the checkpoint folder as well: a run of equal rows then splits over several
+    partitions, and a repeated task still routes each of them the same way.
     """
     shared_dir(df.sparkSession)
     keys = [F.col(c) if isinstance(c, str) else c for c in order]
-    spread = df.withColumn("_tie", F.monotonically_increasing_id())
+    if not unique:
+        df = df.withColumn("_tie", F.monotonically_increasing_id()).checkpoint()
+        keys.append(F.col("_tie"))
     ranged = (
-        spread.repartitionByRange(*keys, F.col("_tie"))
-        .sortWithinPartitions(*keys, F.col("_tie"))
+        df.repartitionByRange(*keys)
+        .sortWithinPartitions(*keys)
         .drop("_tie")
         .withColumn("_at", F.monotonically_increasing_id())
         .checkpoint()
@@ -52,27 +61,30 @@ def seeded_hash(key: Column | str, *salts: object) -> Column:
     return F.md5(F.concat_ws(":", *[p.cast("string") for p in parts]).cast("binary"))
 
 
-def mark_first_n(df: DataFrame, order: Column, tie: str, n: int, name: str) -> DataFrame:
-    """Flag exactly the ``n`` first rows by ``(order, tie)``; ``order`` is hex text.
+def mark_first_n(
+    df: DataFrame, order: Column, tie: str, size: Callable[[int], int], name: str
+) -> DataFrame:
+    """Flag exactly the first ``size(rows)`` rows by ``(order, tie)``; ``order`` is hex text.
 
-    The n-th key is found digit group by digit group: rows per 4-digit group
-    are counted (65,536 counts at most), the group holding the n-th row is
+    The last flagged key is found digit group by digit group: rows per 4-digit
+    group are counted (65,536 counts at most), the group holding that row is
     entered, and only what is left of it is ordered. No global sort.
     """
     keyed = df.withColumn("_h", order)
-    rest, room = keyed.select("_h", tie), n
+    rest, room = keyed.select("_h", tie), None
     for at in (1, 5):
         group = F.substring("_h", at, 4)
         counts = rest.groupBy(group.alias("_p")).agg(F.count("*").alias("_c"))
-        upto = F.sum("_c").over(Window.orderBy("_p"))
-        edge = (
-            counts.withColumn("_upto", upto)
-            .filter((F.col("_upto") >= room) & (F.col("_upto") - F.col("_c") < room))
-            .first()
-        )
-        if edge is None:  # fewer than n rows in all, or n is 0
-            return keyed.withColumn(name, F.lit(n > 0)).drop("_h")
-        rest, room = rest.filter(group == edge["_p"]), room - (edge["_upto"] - edge["_c"])
+        sizes = sorted((r["_p"], r["_c"]) for r in counts.collect())
+        if room is None:
+            room = size(sum(c for _, c in sizes))
+        for prefix, count in sizes:
+            if room <= count:
+                break
+            room -= count
+        else:  # fewer rows than asked for
+            return keyed.withColumn(name, F.lit(True)).drop("_h")
+        rest = rest.filter(group == prefix)
     last = rest.orderBy("_h", tie).offset(room - 1).limit(1).first()
     inside = (F.col("_h") < last["_h"]) | (
         (F.col("_h") == last["_h"]) & (F.col(tie) <= last[tie])

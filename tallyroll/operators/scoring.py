@@ -63,18 +63,22 @@ def latest_prediction(pred: DataFrame, keys: list[str], order: str) -> DataFrame
 def pair_models(gt: DataFrame, pred: DataFrame, models: list[str], key: str = "receipt_id") -> DataFrame:
     """Every truth row once per model, with that model's prediction if there is one.
 
-    Predictions meet their receipt first, one small list per receipt (at most one
-    entry per model); rows are multiplied only after the join, so the shuffle
-    carries each truth row once. The model list is a driver-side registry.
+    Predictions meet their receipt first, one column per model, and rows are
+    multiplied only after the join: the shuffle carries each truth row once, and
+    repeated predictions of one receipt combine before it. The model list is a
+    driver-side registry.
     """
-    listed = pred.filter(F.col("model_id").isin(models)).groupBy(key).agg(
-        F.collect_list(F.struct("model_id", "pred")).alias("_preds")
-    )
-    asked = gt.join(listed, key, "left").withColumn(
-        "model_id", F.explode(F.array(*[F.lit(m) for m in models]))
-    )
-    own = F.filter("_preds", lambda p: p["model_id"] == F.col("model_id"))
-    return asked.withColumn("pred", F.try_element_at(own, F.lit(1))["pred"]).drop("_preds")
+    own = [
+        F.first(F.when(F.col("model_id") == m, F.col("pred")), ignorenulls=True).alias(f"_{i}")
+        for i, m in enumerate(models)
+    ]
+    wide = pred.groupBy(key).agg(*own)
+    rows = [
+        F.struct(F.lit(m).alias("model_id"), F.col(f"_{i}").alias("pred"))
+        for i, m in enumerate(models)
+    ]
+    joined = gt.join(wide, key, "left")
+    return joined.select(*gt.columns, F.inline(F.array(*rows)))
 
 
 def match_items(pairs: DataFrame) -> DataFrame:

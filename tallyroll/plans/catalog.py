@@ -19,6 +19,7 @@ from ..operators import predict as P
 from ..operators import requests as Q
 from ..operators import scoring as S
 from ..operators import validate as V
+from ..operators.ordinals import dense_ordinal
 from ..schema import FIELDS, OVERALL_FIELDS, RECEIPT
 from ..session import fresh_dir
 from ..sources import annotations, shards
@@ -479,7 +480,7 @@ def split_train_val(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _image_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Receipts in key order; every third has no stored image path."""
-    numbered = K.dense_ordinal(raw.receipt_keys(spark, sf_dir), "receipt_id")
+    numbered = dense_ordinal(raw.receipt_keys(spark, sf_dir), "receipt_id", unique=True)
     stored = F.concat(F.lit("scans/2024/receipt_"), F.col("receipt_id").cast("string"), F.lit(".jpg"))
     return numbered.withColumn("image_path", F.when(F.col("receipt_id") % 3 != 0, stored))
 
@@ -516,7 +517,7 @@ def seeded_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def first_n_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """L1: the sample limit, over the dense ordinal."""
-    numbered = K.dense_ordinal(raw.receipt_keys(spark, sf_dir), "receipt_id")
+    numbered = dense_ordinal(raw.receipt_keys(spark, sf_dir), "receipt_id", unique=True)
     return K.first_n(numbered, "ordinal", 200).select("receipt_id", "ordinal")
 
 

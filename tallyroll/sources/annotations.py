@@ -9,6 +9,10 @@ from pyspark.sql.window import Window
 
 from ..functions.amounts import strip
 from ..functions.responses import json_kind
+from ..session import shared_dir
+
+
+MAX_BLOCKS = 200_000  # about 25 TB of text in blocks of 128 MB, some 40 MB of counts
 
 
 def json_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -27,11 +31,17 @@ def json_lines(spark: SparkSession, path: str) -> DataFrame:
         .filter(F.col("json") != "")
         .withColumn("_at", F.monotonically_increasing_id())
     )
-    blocks = kept.groupBy("_file", "_block").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
+    blocks = (
+        kept.groupBy("_file", "_block")
+        .agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
+        .checkpoint()
+    )
     earlier = Window.orderBy("_file", "_block").rowsBetween(Window.unboundedPreceding, -1)
     before = blocks.select(
         "_file", "_block", "_first", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before")
     )
+    if blocks.count() <= MAX_BLOCKS:
+        before = F.broadcast(before)
     return kept.join(before, ["_file", "_block"]).select(
         (F.col("_before") + F.col("_at") - F.col("_first")).alias("ordinal"), "json"
     )

@@ -117,6 +117,16 @@ def test_shards(spark, tmp_path):
     got = read.orderBy("shard_id", "idx").collect()
     assert [int(bytes(r.jpg)) for r in got] == list(range(25))
     assert shards.read_shards(spark, out + "/{000000..000001}.tar").count() == 20
+    for i in range(3):
+        (tmp_path / f"{i}.jpg").write_bytes(str(i).encode())
+    by_uri = spark.range(3).select(
+        F.lit(0).cast("bigint").alias("shard_id"),
+        F.col("id").alias("idx"),
+        F.concat(F.lit(f"{tmp_path}/"), F.col("id").cast("string"), F.lit(".jpg")).alias("uri"),
+        F.lit("{}").alias("json"),
+    )
+    shards.write_shards(by_uri, f"{tmp_path}/by_uri")
+    assert [bytes(r.jpg) for r in shards.read_shards(spark, f"{tmp_path}/by_uri").orderBy("idx").collect()] == [b"0", b"1", b"2"]
     assert shards.expand_braces("a/{08..10}.tar") == ["a/08.tar", "a/09.tar", "a/10.tar"]
 
 

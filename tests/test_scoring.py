@@ -173,3 +173,10 @@ def test_latest_prediction_and_pairs(spark):
     gt = spark.createDataFrame([(1,), (2,), (3,)], "receipt_id int")
     got = {(r.receipt_id, r.model_id): r.pred for r in S.pair_models(gt, last, ["a", "b"]).collect()}
     assert got == {(1, "a"): "new", (1, "b"): None, (2, "a"): "x", (2, "b"): None, (3, "a"): None, (3, "b"): None}
+
+
+def test_published_overall(spark):
+    """The published field F1s of one model average to its published overall F1."""
+    f1 = {"store_name": 0.0, "total": 1.0, "item_name": 0.975, "item_total": 0.925, "item_qty": 0.9}
+    mean = spark.range(1).select(S.overall_f1(lambda f: F.lit(f1[f]))).first()[0]
+    assert mean == pytest.approx(0.76)
