@@ -22,7 +22,7 @@ from ..operators import validate as V
 from ..operators.ordinals import dense_ordinal
 from ..schema import FIELDS, OVERALL_FIELDS, RECEIPT
 from ..session import fresh_dir
-from ..sources import annotations, shards
+from ..sources import annotations, images, shards
 from ..streaming import jobs as stream
 from . import fixtures as fx
 from . import raw
@@ -31,8 +31,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
 
-def query(fn: Query) -> Query:
-    QUERIES[fn.__name__] = fn
+def query(fn: Query, name: str | None = None) -> Query:
+    QUERIES[name or fn.__name__] = fn
     return fn
 
 
@@ -115,8 +115,7 @@ def numeric_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query
-def token_sort_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _token_sort_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     """T1 on every distinct pair of a true line name and its predicted form."""
     gt, pred = _gt_and_pred(spark, sf_dir)
     edited = pred.select("receipt_id", F.explode("items").alias("i")).select(
@@ -129,6 +128,9 @@ def token_sort_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
     return names.withColumn("ratio", _r(token_sort_ratio("name_a", "name_b")))
 
 
+query(_token_sort_ratio, "token_sort_ratio")
+
+
 # --- matching and scoring ---------------------------------------------------
 
 
@@ -560,7 +562,9 @@ def job_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def dedupe_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """R3 in batch: first delivery per task."""
-    return J.first_result(raw.deliveries(fx.table(spark, sf_dir, "events")))
+    first = J.first_result(raw.deliveries(fx.table(spark, sf_dir, "events")))
+    # Wall-clock time, as the event table stores it.
+    return first.withColumn("first_ts", F.col("first_ts").cast("timestamp_ntz"))
 
 
 @query
@@ -644,13 +648,18 @@ def predict_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _packed(spark: SparkSession, sf_dir: str, path: str) -> None:
+    texts = raw.receipt_json(fx.receipts_gt(spark, sf_dir), defects=False)
+    numbered = K.assign_shards(texts, "receipt_id")
+    bytes_ = F.encode(F.col("receipt_id").cast("string"), "UTF-8")
+    shards.write_shards(numbered.withColumn("jpg", bytes_), path)
+
+
 @query
 def shard_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Receipts packed into tar shards and read back."""
     work = fresh_dir(spark, "shards")
-    texts = raw.receipt_json(fx.receipts_gt(spark, sf_dir), defects=False)
-    packed = K.assign_shards(texts, "receipt_id").withColumn("jpg", F.encode(F.col("receipt_id").cast("string"), "UTF-8"))
-    shards.write_shards(packed, work)
+    _packed(spark, sf_dir, work)
     return shards.read_shards(spark, work).select(
         "shard_id",
         "idx",
@@ -658,3 +667,12 @@ def shard_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.get_json_object("json", "$.store.name").alias("store"),
         (F.length(F.get_json_object("json", "$.items")) > 2).alias("has_items"),
     )
+
+
+@query
+def list_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys and sizes of the packed shards under a string prefix."""
+    work = fresh_dir(spark, "listed")
+    _packed(spark, sf_dir, work)
+    listed = images.list_prefix(spark, work, "0")
+    return listed.select("key", (F.col("length") > 0).alias("has_bytes"))

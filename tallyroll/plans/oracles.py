@@ -487,7 +487,6 @@ def _f1s(fields) -> str:
 
 
 def build() -> dict[str, str]:
-    models = ", ".join(f"('{m}')" for m in MODELS)
     tags = "'^\\s+|\\s+$', '', 'g'"
     sql = {
         "parse_amounts": f"""
@@ -504,7 +503,7 @@ FROM (SELECT receipt_id, line, CASE (order_key + line) % 6 WHEN 0 THEN CAST(quan
         + f""" SELECT gt.receipt_id, m.model_id, p.total AS pred_total, gt.total AS gt_total,
   {_near('p.total', 'gt.total')} AS is_match
 FROM gt CROSS JOIN model m LEFT JOIN pred_head p ON p.receipt_id = gt.receipt_id AND p.model_id = m.model_id""",
-        "token_sort_ratios": _with(
+        "token_sort_ratio": _with(
             GT,
             PRED,
             f"names AS (SELECT DISTINCT p.name AS name_a, g.name AS name_b, {_key('p.name')} AS a, {_key('g.name')} AS b "
@@ -665,11 +664,13 @@ SELECT CAST(doc_id AS VARCHAR) AS job_id, 'text' AS model_id, CAST(1 AS INT) AS
   list_filter(list_transform(string_split_regex(text, '\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e]|\x{85}|\x{2028}|\x{2029}'),
       lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '' AND NOT regexp_matches(x, '^[\d\s\-/:.]+$'))[1] AS store_name,
   CAST(length(text) AS INT) AS n_chars, CAST(NULL AS VARCHAR) AS error FROM documents""",
+        "list_objects": f"""
+WITH {KEYS} SELECT DISTINCT format('{{:06d}}.tar', (row_number() OVER (ORDER BY receipt_id) - 1) // 1000) AS key,
+  true AS has_bytes FROM gt""",
         "shard_roundtrip": _with(GT)
         + """, o AS (SELECT receipt_id, store, row_number() OVER (ORDER BY receipt_id) - 1 AS ordinal FROM gt)
 SELECT ordinal // 1000 AS shard_id, ordinal % 1000 AS idx, receipt_id, store,
   receipt_id IN (SELECT receipt_id FROM item) AS has_items FROM o""",
     }
     sql["stream_running_scores"] = sql["running_scores"]
-    del models
     return sql
