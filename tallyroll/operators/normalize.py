@@ -30,6 +30,9 @@ SROIE_NOTES = (
 )
 CORD_NOTES = "Line items populated. Currency is KRW unless otherwise marked."
 
+# Fixed value: the annotator that served receipts carry.
+SERVING_ANNOTATOR = "donut-cord"
+
 _LINE = "struct<nm:string,cnt:string,unitprice:string,price:string>"
 _SUB_TOTAL = "struct<storenm:string,subtotal_price:string>"
 _CORD = "struct<menu:string,sub_total:string,total:string>"
@@ -239,7 +242,7 @@ def remap_serving(raw: DataFrame, text: str = "payload") -> DataFrame:
         items=or_placeholder(F.col("_i")),
         total=serving_number(F.get_json_object("_c.total", "$.total_price")),
         currency=F.lit("KRW"),
-        metadata=_metadata("user_scan", "donut-cord", None, F.lit(None)),
+        metadata=_metadata("user_scan", SERVING_ANNOTATOR, None, F.lit(None)),
     )
     return (
         raw.withColumn("_c", doc).withColumn("_i", items).withColumn("receipt", receipt).drop("_c", "_i")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ..operators.requests import PROMPT, RETRY_PROMPT  # noqa: F401 (prompt length below)
+from ..operators.requests import PROMPT
 from ..schema import FIELDS, OVERALL_FIELDS, RECEIPT
 from .fixtures import MODELS, PAGE_LINES
 
