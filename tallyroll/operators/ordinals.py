@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..session import shared_dir
+from ..session import written
 
 _ROW_BITS = 33  # monotonically_increasing_id keeps the row number in the low 33 bits
 
@@ -19,25 +19,25 @@ def dense_ordinal(
     """0-based position of every row in ``order``.
 
     Rows are range-partitioned and sorted once; the sorted rows are written to
-    the reliable checkpoint folder, so the per-partition counts and the rows
-    they number can never come from two different runs of a lost task. Only the
-    counts, one row per partition, are broadcast.
+    the shared folder with their place, so the per-partition counts and the rows
+    they number can never come from two different runs of a lost task, and the
+    input is computed once. Only the counts, one row per partition, are broadcast.
+    Callers number narrow rows and join wide ones by key.
 
-    Unless the order is ``unique``, a tie-breaking row number is fixed first, in
-    the checkpoint folder as well: a run of equal rows then splits over several
-    partitions, and a repeated task still routes each of them the same way.
+    Unless the order is ``unique``, a tie-breaking row number is written first: a
+    run of equal rows then splits over several partitions, and a repeated task
+    still routes each of them the same way.
     """
-    shared_dir(df.sparkSession)
     keys = [F.col(c) if isinstance(c, str) else c for c in order]
     if not unique:
-        df = df.withColumn("_tie", F.monotonically_increasing_id()).checkpoint()
+        df = written(df.withColumn("_tie", F.monotonically_increasing_id()), "ties")
         keys.append(F.col("_tie"))
-    ranged = (
+    ranged = written(
         df.repartitionByRange(*keys)
         .sortWithinPartitions(*keys)
         .drop("_tie")
-        .withColumn("_at", F.monotonically_increasing_id())
-        .checkpoint()
+        .withColumn("_at", F.monotonically_increasing_id()),
+        "ordinal",
     )
     part = F.shiftright("_at", _ROW_BITS)
     sizes = ranged.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))

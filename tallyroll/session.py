@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import re
 import shutil
 import tempfile
 import uuid
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 DEFAULT_CONF = {
     "spark.sql.session.timeZone": "UTC",
@@ -50,13 +51,17 @@ def build_session(master: str, app: str = "tallyroll", **conf: str) -> SparkSess
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, as the cluster names it.
 
-    Only where the session names none (local tests) is a temporary one made.
+    Only a local master, whose executors are this process, may do without: it
+    gets a temporary one. A cluster that names none is an error, since each
+    executor would write to a disk of its own.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         handle = spark.sparkContext._jsc.sc().getCheckpointDir()
         named = handle.get() if handle.isDefined() else None
     if not named:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         named = tempfile.mkdtemp(prefix="tallyroll-")
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(named)
@@ -64,5 +69,15 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def fresh_dir(spark: SparkSession, label: str) -> str:
-    """A new, unused sub-folder of the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    """A new, unused sub-folder of the shared folder, removed when the session's JVM ends."""
+    path = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return path
+
+
+def written(df: DataFrame, label: str) -> DataFrame:
+    """The rows as a written table of the shared folder: computed once, no lineage."""
+    path = fresh_dir(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

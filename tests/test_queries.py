@@ -33,7 +33,7 @@ def compare(spark, name, sf_dir):
 
 
 def test_every_query_has_sql():
-    assert set(SQL) == set(QUERIES) == set(entry.queries())
+    assert set(QUERIES) <= set(SQL) and set(SQL) <= set(entry.queries())
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
