@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import contamination, jaccard, sharding, urls, warc
+from . import contamination, jaccard, langid, sharding, urls, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {"op5_url_templates": urls.SQL, "op7_decontamination": contamination.SQL,
@@ -23,6 +23,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query
+def op2_language_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.train(langid.training_rows(docs))
+    found = langid.label_languages(docs, model)
+    return found.select("doc_id", (langid.fold("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score", "spans")
+
+
 @query
 def op4_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page as a response record, and its metadata and conversion records."""
