@@ -8,7 +8,7 @@ from itertools import count
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
@@ -90,9 +90,13 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         _inverted(to_arrow_type(kind)), ddl), "postings")
 
 
+def text_key(id_col: str = "doc_id", text_col: str = "text") -> Column:
+    """Hash of id and text: with the id it names a row, whatever other rows have that id."""
+    return F.xxhash64(id_col, text_col)
+
+
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(id_col, text_col).alias("key"),
-                       F.col(text_col).alias("text"))
+    return docs.select(F.col(id_col).alias("doc_id"), text_key(id_col, text_col).alias("key"), F.col(text_col).alias("text"))
 
 
 def _anchors(items: DataFrame, index: DataFrame, window: int) -> DataFrame:
@@ -167,7 +171,8 @@ def find_contamination(
 ) -> DataFrame:
     """Words of every text that stand in an occurrence of a test window, and the items found.
 
-    Returns doc_id, n_words, n_hit, n_items, items_sha256, contaminated, near_items.
+    Returns doc_id, n_words, n_hit, n_items, items_sha256, contaminated, near_items
+    and key, the `text_key` of the row.
 
     Postings of all training words are stored (`build_index`). Each test window looks
     up the list of its rarest term; position less offset is the shift at which the
@@ -222,7 +227,7 @@ def find_contamination(
         "doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
         F.size(ids).cast("long").alias("n_items"), F.sha2(F.array_join(ids, ",").cast("binary"), 256).alias("items_sha256"),
         (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"),
-        F.coalesce("near_items", no_items).alias("near_items"))
+        F.coalesce("near_items", no_items).alias("near_items"), "key")
 
 
 SQL = r"""

@@ -109,6 +109,9 @@ def link_documents(
 ) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for every row: components of all pairs at the threshold.
 
+    Also ``th``, the hash of the text, and ``keep``, true for one row of each component
+    and for rows without shingles.
+
     1. *Order.* Keys are 64-bit shingle hashes in hash order, but keys that stand
        among the first of many sets come last, so lists of passages that many texts
        share are not scanned. At most 131,072 keys are moved: a key must be first in
@@ -194,14 +197,31 @@ def link_documents(
     more = verify(scanned.union(met))
     labels = written(components(links.union(more)), "labels")
 
-    lowest = sketch.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("low"))
+    lowest = sketch.filter("node is not null").groupBy("node").agg(
+        F.min("doc_id").alias("low"), F.min("row").alias("any_row"), F.min_by("row", "doc_id").alias("low_row"))
     labelled = lowest.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    of_label = labelled.groupBy("label").agg(F.min("low").alias("component_id"))
-    of_node = labelled.join(of_label, "label").select("node", "component_id")
-    return sketch.select("doc_id", "node", F.col("n").cast("long").alias("n_shingles")).join(
+    of_label = labelled.groupBy("label").agg(
+        F.min("low").alias("component_id"), F.coalesce(F.min_by("low_row", "low"), F.min("any_row")).alias("keeper"))
+    of_node = labelled.join(of_label, "label").select("node", "component_id", "keeper")
+    return sketch.select("doc_id", "th", "row", "node", F.col("n").cast("long").alias("n_shingles")).join(
         of_node, "node", "left").select(
         "doc_id", "n_shingles",
-        F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+        F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
+        "th", F.coalesce(F.col("row") == F.col("keeper"), F.lit(True)).alias("keep"))
+
+
+def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **how: int) -> DataFrame:
+    """The rows of ``docs`` that stay: of each component the one of least id, and all that have no shingles.
+
+    A row is found again by id and hash of its text. Of repeated rows one stays, also
+    of those without shingles.
+    """
+    found = link_documents(docs, id_col=id_col, text_col=text_col, **how)
+    rows = found.groupBy("doc_id", "th").agg(F.max("keep").alias("keep"), F.count("*").alias("_copies"))
+    stay = written(rows.filter("keep").select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), "_copies"), "kept")
+    kept = docs.join(stay, F.col(id_col).eqNullSafe(F.col("_id")) & (F.xxhash64(text_col) == F.col("_th")))
+    repeated = kept.filter("_copies > 1").dropDuplicates([id_col, "_th"])
+    return kept.filter("_copies = 1").union(repeated).select(*docs.columns)
 
 
 def _star_pairs(narrow: DataFrame, key: str, percent: int) -> DataFrame:

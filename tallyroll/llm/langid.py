@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 UNDECIDED = "und"
 _WORD = re.compile(r"[^\W\d_]+")
@@ -217,10 +218,13 @@ _SPANS = pa.list_(pa.struct([("lang", pa.string()), ("first", pa.int32()), ("wor
 
 
 def label_languages(
-    docs: DataFrame, model: Model, *, penalty: float = 8.0, spans: bool = True, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, model: Model, *, penalty: float = 8.0, spans: bool = True, id_col: str = "doc_id",
+    text_col: str = "text", keep_row: bool = False,
 ) -> DataFrame:
     """doc_id, lang_pred, score and language spans (by letter word) of every whole text.
 
+    With ``keep_row``, ``doc_id`` holds the whole row as a struct.
+
     Each word scores every language by its letter n-grams; scripts narrow the
     candidates; Viterbi with ``penalty`` per change labels the words. The language
     of most words is predicted (ties: first by name), ``score`` is its share of words.
@@ -229,10 +233,14 @@ def label_languages(
     spans, as is everything under a model without languages. Row by row: repeated
     rows and ids are no matter, other columns are ignored, an empty table gives no rows.
     """
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(
-        _labelled(model, penalty, spans),
-        f"doc_id {kind}, lang_pred string, score double, spans array<struct<lang: string, first: int, words: int>>")
+    first = F.struct(*docs.columns) if keep_row else F.col(id_col)
+    rows = docs.select(first.alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    schema = T.StructType([
+        rows.schema["doc_id"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()),
+        T.StructField("spans", T.ArrayType(T.StructType([
+            T.StructField("lang", T.StringType()), T.StructField("first", T.IntegerType()),
+            T.StructField("words", T.IntegerType())])))])
+    return rows.mapInArrow(_labelled(model, penalty, spans), schema)
 
 
 def fold(id_col: str, folds: int) -> Column:
