@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import contamination, jaccard, langid, packing, pii, sharding, urls, warc
+from . import contamination, jaccard, langid, packing, pii, quality, sharding, simhash, urls, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {"op5_url_templates": urls.SQL, "op7_decontamination": contamination.SQL,
@@ -36,6 +36,11 @@ def op2_language_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (langid.fold("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score", "spans")
 
 
+@query
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.fingerprint_documents(table(spark, sf_dir, "documents"))
+
+
 @query
 def op4_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page as a response record, and its metadata and conversion records."""
@@ -69,3 +74,11 @@ def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return pii.pseudonymise(docs, key="corpus-2025")
+
+
+@query
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    ensemble = quality.fit(quality.training_sample(docs, table(spark, sf_dir, "labels")))
+    scored = quality.score_quality(docs, ensemble)
+    return scored.select("doc_id", (langid.fold("doc_id", 3) == 1).alias("held_out"), "score", "predicted")
