@@ -63,24 +63,26 @@ def latest_prediction(pred: DataFrame, keys: list[str], order: str) -> DataFrame
 def pair_models(gt: DataFrame, pred: DataFrame, models: list[str], key: str = "receipt_id") -> DataFrame:
     """Every truth row once per model, with that model's prediction if there is one.
 
-    Predictions meet their receipt first, one column per model, and rows are
-    multiplied only after the join: the shuffle carries each truth row once, and
-    repeated predictions of one receipt combine before it. The model list is a
-    driver-side registry.
+    Predictions meet their receipt first, as one list, and rows are multiplied only
+    after the join: the shuffle carries each truth row once, and predictions of one
+    receipt combine before it. The model list is a driver-side registry.
     """
-    own = [
-        F.first(F.when(F.col("model_id") == m, F.col("pred")), ignorenulls=True).alias(f"_{i}")
-        for i, m in enumerate(models)
-    ]
-    wide = pred.groupBy(key).agg(*own)
+    listed = pred.groupBy(key).agg(F.collect_list(F.struct("model_id", "pred")).alias("_preds"))
     rows = [
-        F.struct(F.lit(m).alias("model_id"), F.col(f"_{i}").alias("pred"))
-        for i, m in enumerate(models)
+        F.struct(
+            F.lit(m).alias("model_id"),
+            F.get(_of_model(m), F.lit(0))["pred"].alias("pred"),
+        )
+        for m in models
     ]
-    joined = gt.join(wide, key, "left")
+    joined = gt.join(listed, key, "left")
     return joined.select(*gt.columns, F.inline(F.array(*rows)))
 
 
+def _of_model(model: str) -> Column:
+    return F.filter("_preds", lambda p: p["model_id"] == model)
+
+
 def match_items(pairs: DataFrame) -> DataFrame:
     """A4 with W3 bookkeeping: adds ``matched``, the consumed true position per predicted item."""
     return pairs.withColumn(

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import amounts as A
 from ..functions import responses as R
@@ -86,14 +87,16 @@ def default_quantities(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _gt_and_pred(spark: SparkSession, sf_dir: str, models=fx.MODELS) -> tuple[DataFrame, DataFrame]:
-    gt = fx.receipts_gt(spark, sf_dir)
+def _gt_and_pred(
+    spark: SparkSession, sf_dir: str, models=fx.MODELS, with_items: bool = True
+) -> tuple[DataFrame, DataFrame]:
+    gt = fx.receipts_gt(spark, sf_dir, with_items)
     return gt, fx.receipts_pred(gt, models)
 
 
-def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _pairs(spark: SparkSession, sf_dir: str, with_items: bool = True) -> DataFrame:
     """J1 for one model: every receipt with that model's prediction."""
-    gt, pred = _gt_and_pred(spark, sf_dir, fx.MODELS[:1])
+    gt, pred = _gt_and_pred(spark, sf_dir, fx.MODELS[:1], with_items)
     return S.join_predictions(fx.truth(gt), fx.predictions(pred).drop("model_id"))
 
 
@@ -105,8 +108,10 @@ def _model_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def numeric_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """F6 on receipt totals of every model."""
-    return _model_pairs(spark, sf_dir).select(
+    """F6 on receipt totals of every model; no line is read."""
+    gt = fx.receipts_gt(spark, sf_dir, with_items=False)
+    pairs = S.pair_models(fx.truth(gt), fx.predictions(fx.receipts_pred(gt)), list(fx.MODELS))
+    return pairs.select(
         "receipt_id",
         "model_id",
         F.col("pred.total").alias("pred_total"),
@@ -138,7 +143,9 @@ query(_token_sort_ratio, "token_sort_ratio")
 def best_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The most similar true line of every predicted line, nothing consumed."""
     best = S.best_per_item(_model_pairs(spark, sf_dir))
-    return best.select("receipt_id", "model_id", F.posexplode("best").alias("pos", "b")).select(
+    # outer: a plain explode would first test the list for emptiness, which computes it twice
+    rows = best.select("receipt_id", "model_id", F.posexplode_outer("best").alias("pos", "b"))
+    return rows.filter("pos is not null").select(
         "receipt_id",
         "model_id",
         (F.col("pos") + 1).alias("pred_line"),
@@ -152,7 +159,7 @@ def greedy_item_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A4: the line pairs the scorer consumes."""
     matched = S.match_items(_model_pairs(spark, sf_dir))
     return (
-        matched.select("receipt_id", "model_id", F.posexplode("matched").alias("pos", "j"))
+        matched.select("receipt_id", "model_id", F.posexplode_outer("matched").alias("pos", "j"))
         .filter("j >= 0")
         .select(
             "receipt_id",
@@ -180,8 +187,8 @@ def score_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def score_total(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A3."""
-    scored = _pairs(spark, sf_dir).select("receipt_id", S.total_score().alias("s"))
+    """A3; no line is read."""
+    scored = _pairs(spark, sf_dir, with_items=False).select("receipt_id", S.total_score().alias("s"))
     return scored.select("receipt_id", *_parts("s"))
 
 
@@ -518,14 +525,14 @@ def seeded_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def first_n_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """L1: the sample limit, over the dense ordinal."""
-    numbered = dense_ordinal(raw.receipt_keys(spark, sf_dir), "receipt_id", unique=True)
-    return K.first_n(numbered, "ordinal", 200).select("receipt_id", "ordinal")
+    """L1: the sample limit; the first rows are numbered, not the table."""
+    first = raw.receipt_keys(spark, sf_dir).orderBy("receipt_id").limit(200)
+    return first.select("receipt_id", (F.row_number().over(Window.orderBy("receipt_id")) - 1).cast("long").alias("ordinal"))
 
 
 @query
 def training_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Target sequences cut at 40 tokens."""
+    """Target sequences cut at 24 tokens."""
     texts = raw.receipt_json(fx.receipts_gt(spark, sf_dir), defects=False)
     return K.training_targets(texts, max_length=24).select(
         "receipt_id", "n_tokens", "truncated", F.element_at("tokens", -1).alias("last_token")
@@ -671,8 +678,8 @@ def shard_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def list_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Keys and sizes of the packed shards under a string prefix."""
+    """Keys and sizes of all packed shards."""
     work = fresh_dir(spark, "listed")
     _packed(spark, sf_dir, work)
-    listed = images.list_prefix(spark, work, "0")
+    listed = images.list_prefix(spark, work)
     return listed.select("key", (F.col("length") > 0).alias("has_bytes"))

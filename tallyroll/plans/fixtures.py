@@ -1,9 +1,8 @@
 """Receipts, predictions, responses and events derived from the driver tables.
 
-An order is a receipt and its line items are the receipt's lines. An order with
-more than ``PAGE_LINES`` lines prints as several receipts of at most that many,
-so no order, however large, ever becomes one row or one task. The check for
-such orders is one count over one column.
+An order is a receipt and its line items are the receipt's lines, whatever its
+size; its id is the order's key. Lines are gathered from lists that each map task
+has already made, and a receipt with many lines is matched in blocks.
 """
 
 from __future__ import annotations
@@ -12,9 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.amounts import metric_number, zero_as_null
-from ..operators.ordinals import dense_ordinal
 
-PAGE_LINES = 200
 MODELS = ("model-a", "model-b", "model-c")
 LINE_ORDER = ("no", "name", "quantity", "total")
 
@@ -69,53 +66,19 @@ def _collected(lines: DataFrame, *keys: str) -> DataFrame:
     return lines.groupBy(*keys).agg(ordered.alias("items"))
 
 
-def large_orders(spark: SparkSession, sf_dir: str, limit: int) -> DataFrame:
-    return (
-        table(spark, sf_dir, "lineitem")
-        .groupBy(F.col("l_orderkey").alias("order_key"))
-        .agg(F.count("*").alias("n"))
-        .filter(F.col("n") > limit)
-        .select("order_key")
-    )
+def receipts_gt(spark: SparkSession, sf_dir: str, with_items: bool = True) -> DataFrame:
+    """``receipt_id, order_key, store_name, date, total, items[no, name, quantity, total]``.
 
-
-def receipts_gt(spark: SparkSession, sf_dir: str, page_lines: int = PAGE_LINES) -> DataFrame:
-    """``receipt_id, order_key, store_name, date, total, items[no, name, quantity, total]``."""
-    lines, heads = _lines(spark, sf_dir), _heads(spark, sf_dir)
-    large = large_orders(spark, sf_dir, page_lines)
-    columns = ["receipt_id", "order_key", "store_name", "date", "total", "items"]
+    Without items the list is empty and no line is read.
+    """
+    heads = _heads(spark, sf_dir).withColumn("receipt_id", F.col("order_key"))
     no_items = F.array().cast("array<struct<no:int,name:string,quantity:double,total:double>>")
-
-    def ordinary(head: DataFrame, line: DataFrame) -> DataFrame:
-        return (
-            head.join(_collected(line, "order_key"), "order_key", "left")
-            .withColumn("receipt_id", F.col("order_key"))
-            .withColumn("items", F.coalesce("items", no_items))
-            .select(*columns)
-        )
-
-    if large.isEmpty():
-        return ordinary(heads, lines)
-
-    # Line positions in large orders come from one range-partitioned ordinal.
-    placed = dense_ordinal(lines.join(large, "order_key", "left_semi"), "order_key", *LINE_ORDER)
-    starts = placed.groupBy("order_key").agg(F.min("ordinal").alias("start"))
-    page = F.floor((F.col("ordinal") - F.col("start")) / page_lines)
-    pages = placed.join(starts, "order_key").withColumn("page", page)
-    paged = (
-        pages.groupBy("order_key", "page")
-        .agg(
-            F.sort_array(F.collect_list(F.struct(*LINE_ORDER))).alias("items"),
-            F.min("ordinal").alias("first"),
-        )
-        # The first receipt of an order keeps its key; later ones are named by their first line.
-        .withColumn(
-            "receipt_id", F.when(F.col("page") == 0, F.col("order_key")).otherwise(-1 - F.col("first"))
-        )
-    )
-    return ordinary(
-        heads.join(large, "order_key", "left_anti"), lines.join(large, "order_key", "left_anti")
-    ).unionByName(heads.join(paged, "order_key").select(*columns))
+    if with_items:
+        items = _collected(_lines(spark, sf_dir), "order_key")
+        heads = heads.join(items, "order_key", "left").withColumn("items", F.coalesce("items", no_items))
+    else:
+        heads = heads.withColumn("items", no_items)
+    return heads.select("receipt_id", "order_key", "store_name", "date", "total", "items")
 
 
 def _tokens(name: Column) -> Column:

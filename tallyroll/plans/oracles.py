@@ -4,39 +4,27 @@ from __future__ import annotations
 
 from ..operators.requests import PROMPT
 from ..schema import FIELDS, OVERALL_FIELDS, RECEIPT
-from .fixtures import MODELS, PAGE_LINES
+from .fixtures import MODELS
 
 # --- CTEs: receipts ---------------------------------------------------------
 
-ITEMS = f"""
-line0 AS (
-  SELECT l_orderkey AS order_key, l_linenumber AS no, p_name || ' ' || p_brand || ' ' || p_type AS name,
-         l_quantity AS quantity, l_extendedprice AS total
-  FROM lineitem JOIN part ON l_partkey = p_partkey),
-line1 AS (
-  SELECT *, row_number() OVER (PARTITION BY order_key ORDER BY no, name, quantity, total) AS pos,
-         count(*) OVER (PARTITION BY order_key) AS n_lines FROM line0),
-hot AS (
-  SELECT order_key, (pos - 1) // {PAGE_LINES} AS page, min(g) AS first
-  FROM (SELECT order_key, pos, row_number() OVER (ORDER BY order_key, pos) - 1 AS g
-        FROM line1 WHERE n_lines > {PAGE_LINES}) GROUP BY ALL),
+ITEMS = """
 item AS (
-  SELECT CASE WHEN (pos - 1) // {PAGE_LINES} = 0 THEN l.order_key ELSE -1 - h.first END AS receipt_id,
-         l.order_key, (pos - 1) % {PAGE_LINES} + 1 AS line, l.name, l.quantity, l.total
-  FROM line1 l LEFT JOIN hot h ON h.order_key = l.order_key AND h.page = (pos - 1) // {PAGE_LINES})"""
+  SELECT l_orderkey AS receipt_id, l_orderkey AS order_key, name, quantity, total,
+    row_number() OVER (PARTITION BY l_orderkey ORDER BY no, name, quantity, total) AS line
+  FROM (SELECT l_orderkey, l_linenumber AS no, p_name || ' ' || p_brand || ' ' || p_type AS name,
+          l_quantity AS quantity, l_extendedprice AS total
+        FROM lineitem JOIN part ON l_partkey = p_partkey))"""
 
 GT = f"""{ITEMS},
 gt AS (
-  SELECT coalesce(r.receipt_id, o_orderkey) AS receipt_id, o_orderkey AS order_key,
+  SELECT o_orderkey AS receipt_id, o_orderkey AS order_key,
          n_name || ' ' || c_mktsegment AS store, strftime(o_orderdate, '%Y-%m-%d') AS date,
          o_totalprice AS total
-  FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
-  LEFT JOIN (SELECT DISTINCT order_key, receipt_id FROM item) r ON r.order_key = o_orderkey)"""
+  FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey)"""
 
 KEYS = f"""{ITEMS},
-gt AS (
-  SELECT coalesce(r.receipt_id, o_orderkey) AS receipt_id, o_orderkey AS order_key
-  FROM orders LEFT JOIN (SELECT DISTINCT order_key, receipt_id FROM item) r ON r.order_key = o_orderkey)"""
+gt AS (SELECT o_orderkey AS receipt_id, o_orderkey AS order_key FROM orders)"""
 
 _MODEL_ROWS = ", ".join(f"('{m}', {i})" for i, m in enumerate(MODELS))
 

@@ -6,17 +6,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import fresh_dir
-from .fixtures import PAGE_LINES, large_orders, receipts_gt, table
+from .fixtures import table
 
 
 def receipt_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``receipt_id, order_key`` of every receipt; reads the orders alone unless one is large."""
-    if large_orders(spark, sf_dir, PAGE_LINES).isEmpty():
-        key = F.col("o_orderkey")
-        return table(spark, sf_dir, "orders").select(
-            key.alias("receipt_id"), key.alias("order_key")
-        )
-    return receipts_gt(spark, sf_dir).select("receipt_id", "order_key")
+    """``receipt_id, order_key`` of every receipt; reads the orders alone."""
+    key = F.col("o_orderkey")
+    return table(spark, sf_dir, "orders").select(key.alias("receipt_id"), key.alias("order_key"))
 
 
 def amount_text(amount: Column, style: Column) -> Column:

@@ -9,19 +9,18 @@ from pyspark.sql.window import Window
 
 from ..functions.amounts import strip
 from ..functions.responses import json_kind
-from ..session import shared_dir
-
-
-MAX_BLOCKS = 200_000  # about 25 TB of text in blocks of 128 MB, some 40 MB of counts
+from ..session import written
 
 
 def json_lines(spark: SparkSession, path: str) -> DataFrame:
     """``ordinal, json`` of the non-blank lines in file order.
 
-    The ordinal is the row's place in its file block plus the rows of all blocks
-    before it: counts per block, no sort and no single-partition pass over rows.
+    Lines, their blocks and places are written in one pass, so the ordinals fit the
+    lines whatever splits a later read would choose. The ordinal is the row's place
+    in its file block plus the rows of all blocks before it: counts per block, no
+    sort and no single-partition pass over rows.
     """
-    kept = (
+    kept = written(
         spark.read.text(path)
         .select(
             strip(F.col("value")).alias("json"),
@@ -29,39 +28,35 @@ def json_lines(spark: SparkSession, path: str) -> DataFrame:
             F.col("_metadata.file_block_start").alias("_block"),
         )
         .filter(F.col("json") != "")
-        .withColumn("_at", F.monotonically_increasing_id())
-    )
-    blocks = (
-        kept.groupBy("_file", "_block")
-        .agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
-        .checkpoint()
+        .withColumn("_at", F.monotonically_increasing_id()),
+        "lines",
     )
+    blocks = kept.groupBy("_file", "_block").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
     earlier = Window.orderBy("_file", "_block").rowsBetween(Window.unboundedPreceding, -1)
     before = blocks.select(
         "_file", "_block", "_first", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before")
     )
-    if blocks.count() <= MAX_BLOCKS:
-        before = F.broadcast(before)
     return kept.join(before, ["_file", "_block"]).select(
         (F.col("_before") + F.col("_at") - F.col("_first")).alias("ordinal"), "json"
     )
 
 
-def _checked(json: Column) -> Column:
-    return F.when(json_kind(json).isNotNull(), json).otherwise(
-        F.raise_error(F.concat(F.lit("malformed JSON line: "), json))
+def _well_formed(json: Column) -> Column:
+    """True, or an error; used as a filter, which no pruning of columns can drop."""
+    return F.when(json_kind(json).isNotNull(), True).otherwise(
+        F.raise_error(F.concat(F.lit("malformed JSON line: "), json)).cast("boolean")
     )
 
 
 def read_annotations(spark: SparkSession, path: str) -> DataFrame:
     """``ordinal, json, image_path``; a malformed line fails the job."""
-    checked = json_lines(spark, path).withColumn("json", _checked(F.col("json")))
+    checked = json_lines(spark, path).filter(_well_formed(F.col("json")))
     return checked.withColumn("image_path", F.get_json_object("json", "$.metadata.image_path"))
 
 
 def read_eval_jobs(spark: SparkSession, path: str) -> DataFrame:
     """``ordinal, image_path, annotation`` (JSON text)."""
-    checked = json_lines(spark, path).withColumn("json", _checked(F.col("json")))
+    checked = json_lines(spark, path).filter(_well_formed(F.col("json")))
     return checked.select(
         "ordinal",
         F.get_json_object("json", "$.image_path").alias("image_path"),

@@ -21,23 +21,26 @@ def read_images(spark: SparkSession, path: str, recursive: bool = True) -> DataF
     return _files(spark, path, recursive).withColumn("name", basename(F.col("path")))
 
 
-def _relative(path: Column, base: str) -> Column:
-    tail = base.rstrip("/").split("://")[-1].lstrip("/") + "/"
-    return F.substring_index(path, tail, -1)
+def _relative(spark: SparkSession, path: Column, base: str) -> Column:
+    """The path below ``base``, cut from the front, so a repeated folder name does no harm."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(base)
+    whole = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(at).toString()
+    return F.substring(path, len(whole.rstrip("/")) + 2, 1 << 30)
 
 
 def list_folder(spark: SparkSession, base: str) -> DataFrame:
     """S6, local form: files and folders one level below ``base``, relative and sorted.
 
-    Only paths are read; file contents are pruned from the scan.
+    Only paths are read; file contents are pruned from the scan. Names that begin with
+    ``_`` or ``.`` and empty folders are not listed, as the file source hides them.
     """
-    entry = F.split_part(_relative(F.col("path"), base), F.lit("/"), F.lit(1))
+    entry = F.split_part(_relative(spark, F.col("path"), base), F.lit("/"), F.lit(1))
     return _files(spark, base, True).select(entry.alias("name")).distinct().orderBy("name")
 
 
 def list_prefix(spark: SparkSession, base: str, prefix: str = "") -> DataFrame:
     """S6, object-store form: every key below ``base`` that starts with the string ``prefix``."""
-    keys = _files(spark, base, True).select(_relative(F.col("path"), base).alias("key"), "length")
+    keys = _files(spark, base, True).select(_relative(spark, F.col("path"), base).alias("key"), "length")
     return keys.filter(F.col("key").startswith(prefix)).orderBy("key")
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.responses import parse_response
 from ..operators.jobs import latest_state
 from ..operators.normalize import remap_serving
-from ..operators.predict import Runner, predict
+from ..operators.predict import LOAD_FAILED, Runner, predict
 from ..operators.validate import outcome, violations
 
 RESULT_LIFE = "24 hours"
@@ -68,7 +68,8 @@ def extract(
         parsed.withColumn("error", F.coalesce("error", bad)).withColumn("payload", F.col("_r.payload"))
     ).withColumn("json", F.to_json("receipt"))
     checked = violations(mapped, name="problems")
-    code = outcome(F.col("content_type"), F.lit(True), F.col("error"), F.col("problems"))
+    loaded = ~F.coalesce(F.col("error").startswith(LOAD_FAILED), F.lit(False))
+    code = outcome(F.col("content_type"), loaded, F.col("error"), F.col("problems"))
     return checked.select("job_id", code.alias("status_code"), "error", "problems", "json")
 
 
