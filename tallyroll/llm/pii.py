@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..session import written
 
+#: Titles before names (fixed values).
+_TITLES = "Mr|Mrs|Ms|Miss|Herr|Frau|Monsieur|Madame|Señor|Señora|Sr|Sra|Г-н|Г-жа|Κος|Κα"
 #: Detection patterns by type, tried in this order (fixed values; each starts at a word edge and
 #: runs possessively, so a long text without matches costs linear time).
 PATTERNS = {
@@ -20,10 +22,17 @@ PATTERNS = {
     "phone": r"(?<![\d+])(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}(?!\d)"
              r"|(?<![\d+])\+\d{1,3}[ .-]?\d{2,4}(?:[ .-]?\d{2,4}){1,4}+(?!\d)"
              r"|(?<![\d.-])\d{3}[ .-]\d{3}[ .-]\d{4}(?![\d-])",
-    "person": r"(?<!\p{L})(?:Mr|Mrs|Ms|Miss|Herr|Frau|Monsieur|Madame|Señor|Señora|Sr|Sra|Г-н|Г-жа|Κος|Κα)\.? "
+    "person": r"(?<!\p{L})(?:" + _TITLES + r")\.? "
               r"\p{Lu}\p{Ll}++(?:[ -]\p{Lu}\p{Ll}++){0,2}+",
 }
-ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
+_BY_DIGIT = ("ip", "ssn", "card", "phone")
+#: One pass for all: numbers are tried at a digit, plus or bracket only, the rest at the start of a word only.
+ANY = (
+    r"(?<![\p{L}\p{N}._%+-])(?=[\p{L}\p{N}._%+-])(?:" + "|".join(f"(?:{p})" for n, p in PATTERNS.items() if n not in _BY_DIGIT)
+    + r")|(?=[0-9+(])(?:" + "|".join(f"(?:{PATTERNS[n]})" for n in _BY_DIGIT) + ")"
+)
+#: What every match has: a digit, an at sign or a title. Quick to test for texts without any.
+_SIGN, _TITLED = r"[0-9@]", r"(?=[MHFSГΚ])(?:" + _TITLES + r")\.? \p{Lu}"
 #: Titles of women (fixed values); the other titles are men's.
 _FEMALE = r"^(?:Mrs|Ms|Miss|Frau|Madame|Señora|Sra|Г-жа|Κα)\b"
 _TITLE = r"^\S+ "
@@ -173,7 +182,7 @@ def pseudonymise(docs: DataFrame, key: str, *, id_col: str = "doc_id", text_col:
     """
     text = F.col(text_col)
     names = docs.columns
-    has = F.coalesce(text.rlike(ANY), F.lit(False))
+    has = F.coalesce((text.rlike(_SIGN) | text.rlike(_TITLED)) & text.rlike(ANY), F.lit(False))
     ids = [F.xxhash64(id_col, text_col).alias("_pii_a"), F.hash(id_col, text_col).alias("_pii_b")]
     dirty = docs.filter(has)
     found = dirty.select(*ids, F.posexplode(F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).alias("i", "value"))
