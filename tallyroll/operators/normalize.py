@@ -38,8 +38,23 @@ _SUB_TOTAL = "struct<storenm:string,subtotal_price:string>"
 _CORD = "struct<menu:string,sub_total:string,total:string>"
 _SROIE = "struct<company:string,date:string,address:string,total:string>"
 _ITEM_OUT = (
-    "struct<line_number:int,name:string,quantity:double,unit:string,unit_price:double,total:double>"
+    "struct<line_number:int,name:string,quantity:double,unit:string,unit_price:double,total:double,"
+    "normalized_name:string,sku:string,category:string,tax_code:string,discount_applied:double>"
 )
+_DISCOUNTS = "array<struct<description:string,amount:double,applies_to_line:int>>"
+_TAXES = "array<struct<label:string,rate:double,amount:double>>"
+
+
+def _unknown() -> list[Column]:
+    """Item fields that no source tells."""
+    texts = ("normalized_name", "sku", "category", "tax_code")
+    return [F.lit(None).cast("string").alias(n) for n in texts] + [
+        F.lit(None).cast("double").alias("discount_applied")
+    ]
+
+
+def _none_of(kind: str) -> Column:
+    return F.array().cast(kind)
 
 
 def placeholder_items() -> Column:
@@ -52,6 +67,7 @@ def placeholder_items() -> Column:
             F.lit("each").alias("unit"),
             F.lit(None).cast("double").alias("unit_price"),
             F.lit(0.0).alias("total"),
+            *_unknown(),
         )
     ).cast(f"array<{_ITEM_OUT}>")
 
@@ -98,6 +114,7 @@ def _item(line: Column, name: Column, quantity: Column, unit_price: Column, tota
         F.lit("each").alias("unit"),
         unit_price.alias("unit_price"),
         total.alias("total"),
+        *_unknown(),
     )
 
 
@@ -132,6 +149,8 @@ def normalize_sroie(raw: DataFrame, annotator: str = "tallyroll", text: str = "p
         date=date_prefix(or_default("date", NO_DATE)),
         items=placeholder_items(),
         subtotal=F.lit(None).cast("double"),
+        discounts=_none_of(_DISCOUNTS),
+        taxes=_none_of(_TAXES),
         total=amount,
         currency=F.lit("USD"),
         payment=F.struct(F.lit("other").alias("method")),
@@ -146,8 +165,10 @@ def normalize_sroie(raw: DataFrame, annotator: str = "tallyroll", text: str = "p
 
 
 def cord_document(ground_truth: Column) -> Column:
-    """S3: the annotated object, under ``gt_parse`` or bare."""
-    return F.coalesce(F.get_json_object(ground_truth, "$.gt_parse"), ground_truth)
+    """S3: the annotated object, under ``gt_parse`` or bare; a null ``gt_parse`` is no document."""
+    return F.when(
+        has_key(ground_truth, "gt_parse"), F.get_json_object(ground_truth, "$.gt_parse")
+    ).otherwise(ground_truth)
 
 
 def normalize_cord(
@@ -180,6 +201,8 @@ def normalize_cord(
         date=F.lit(NO_DATE),
         items=or_placeholder(F.col("_items")),
         subtotal=zero_as_null(locale_number(F.col("_s.subtotal_price"))),
+        discounts=_none_of(_DISCOUNTS),
+        taxes=_none_of(_TAXES),
         total=locale_number(total),
         currency=F.lit("KRW"),
         payment=F.struct(F.lit("other").alias("method")),

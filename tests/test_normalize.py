@@ -128,3 +128,16 @@ def test_outcome_and_completeness(spark):
     texts = [json.dumps(GOOD), '{"store":{},"items":[],"total":null}', '{"store":{"name":""},"total":0}']
     got = {r.field: (r.n_present, r.n_total) for r in V.completeness(rows(spark, texts, "json")).collect()}
     assert got == {"store.name": (2, 3), "total": (2, 3), "items": (1, 3)}
+
+
+def test_whole_receipts(spark):
+    """Fields that no source tells are there as nulls or empty lists; a null document is an error row."""
+    rows = [(0, '{"gt_parse":{"menu":{"nm":"tea","price":"3.00"}}}'), (1, '{"gt_parse":null}'), (2, '{"menu":[]}')]
+    got = {r.ordinal: r for r in N.normalize_cord(spark.createDataFrame(rows, "ordinal int, ground_truth string")).collect()}
+    assert got[1].receipt is None and got[1].error
+    for i in (0, 2):
+        assert got[i].error is None and got[i].receipt.discounts == [] and got[i].receipt.taxes == []
+        item = got[i].receipt["items"][0]
+        assert [item[n] for n in ("normalized_name", "sku", "category", "tax_code", "discount_applied")] == [None] * 5
+    plain = N.normalize_sroie(spark.createDataFrame([(0, "{}")], "ordinal int, parsed_data string")).first().receipt
+    assert plain.discounts == [] and plain.taxes == []
