@@ -26,7 +26,7 @@ from ..session import fresh_dir
 from ..sources import annotations, images, shards
 from ..streaming import jobs as stream
 from . import fixtures as fx
-from . import raw
+from . import raw, roundtrips
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -683,3 +683,6 @@ def list_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
     _packed(spark, sf_dir, work)
     listed = images.list_prefix(spark, work)
     return listed.select("key", (F.col("length") > 0).alias("has_bytes"))
+
+
+QUERIES.update(roundtrips.QUERIES)

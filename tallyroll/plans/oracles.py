@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from ..operators.requests import PROMPT
 from ..schema import FIELDS, OVERALL_FIELDS, RECEIPT
+from . import roundtrips
 from .fixtures import MODELS
 
 # --- CTEs: receipts ---------------------------------------------------------
@@ -661,4 +662,4 @@ SELECT ordinal // 1000 AS shard_id, ordinal % 1000 AS idx, receipt_id, store,
   receipt_id IN (SELECT receipt_id FROM item) AS has_items FROM o""",
     }
     sql["stream_running_scores"] = sql["running_scores"]
-    return sql
+    return sql | roundtrips.sql(sql)
