@@ -72,15 +72,29 @@ def _first_keys(size: int, percent: int) -> Callable:
     return run
 
 
+class _Sets:
+    """Shingle sets by node, so that a node met again is not hashed again; forgets all beyond two million entries."""
+
+    def __init__(self, size: int) -> None:
+        self._size, self._hasher, self._sets, self._held = size, WordHasher(), {}, 0
+
+    def of(self, node: int, text: pa.Scalar) -> np.ndarray:
+        found = self._sets.get(node)
+        if found is None:
+            if self._held > 2_000_000:
+                self._sets, self._held = {}, 0
+            found = self._sets[node] = shingle_set(text.as_py(), self._size, self._hasher)
+            self._held += len(found) + 100
+        return found
+
+
 def _verified(size: int, percent: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, last, left = WordHasher(), None, np.empty(0, np.uint64)
+        sets = _Sets(size)
         for batch in batches:
             keep = []
-            for a, ta, tb in zip(batch.column(0), batch.column(2), batch.column(3), strict=True):
-                if a.as_py() != last:
-                    last, left = a.as_py(), shingle_set(ta.as_py(), size, hasher)
-                right = shingle_set(tb.as_py(), size, hasher)
+            for a, b, ta, tb in zip(*(batch.column(i) for i in range(4)), strict=True):
+                left, right = sets.of(a.as_py(), ta), sets.of(b.as_py(), tb)
                 both = len(np.intersect1d(left, right, assume_unique=True))
                 keep.append(100 * both >= percent * (len(left) + len(right) - both))
             yield pa.RecordBatch.from_arrays(
@@ -89,12 +103,15 @@ def _verified(size: int, percent: int) -> Callable:
     return run
 
 
+def _apart(a: str, b: str) -> Column:
+    """Least number of elements in one set only: every bit that differs is one."""
+    return reduce(lambda x, y: x + y, [F.bit_count(F.col(f"{a}.{c}").bitwiseXOR(F.col(f"{b}.{c}"))) for c in _BITS])
+
+
 def _may_link(percent: int, a: str, b: str) -> Column:
-    """Neither sizes nor parity bitmaps rule out a link: every odd bit is an element of one set only."""
+    """Neither sizes nor parity bitmaps rule out a link."""
     na, nb = F.col(f"{a}.n"), F.col(f"{b}.n")
-    apart = reduce(lambda x, y: x + y, [
-        F.bit_count(F.col(f"{a}.{c}").bitwiseXOR(F.col(f"{b}.{c}"))) for c in _BITS])
-    return (F.least(na, nb) * 100 >= F.greatest(na, nb) * percent) & (apart <= _most_apart(percent, na, nb))
+    return (F.least(na, nb) * 100 >= F.greatest(na, nb) * percent) & (_apart(a, b) <= _most_apart(percent, na, nb))
 
 
 def _most_apart(percent: int, na: Column, nb: Column) -> Column:
@@ -126,7 +143,8 @@ def link_documents(
        *Small sets* among each other meet in the two-key subsets of their first
        n - t + 2 keys instead. The boundary is the largest size whose subsets cost less
        than its lists, by the measured mean list length.
-    5. Candidates are checked on whole texts; components of all links follow.
+    5. Candidates are checked on whole texts: first the likeliest of each pair of components, then all that
+       still lie between two components. Components of all links follow.
 
     Null and empty texts and texts without words have 0 shingles and are linked
     with nothing. Repeated rows link with each other; a component's id is its least
@@ -149,7 +167,7 @@ def link_documents(
         .withColumn("row", F.monotonically_increasing_id()),
         "sketch")
     first_rows = sketch.filter("node is not null").groupBy("node").agg(F.min("row").alias("row")).select("row")
-    nodes = written(sketch.join(first_rows, "row", "left_semi").drop("row"), "nodes")
+    nodes = written(sketch.join(first_rows, "row", "left_semi"), "nodes")
     texts = base.withColumn("th", F.xxhash64("text"))
 
     def verify(pairs: DataFrame) -> DataFrame:
@@ -169,33 +187,43 @@ def link_documents(
     links = verify(stars[0].union(stars[1]))
     labels = written(components(links), "labels")
 
+    about = nodes.select("row", "node", "n", *_BITS).join(labels, "node", "left").withColumn(
+        "label", F.coalesce("label", "node"))
     listed = nodes.select(
-        "node", "n", *_BITS,
-        F.posexplode(F.slice("keys", 1, F.size("keys") - (F.col("n") > 1).cast("int"))).alias("i", "key"), "keys",
+        "row", F.posexplode(F.slice("keys", 1, F.size("keys") - (F.col("n") > 1).cast("int"))).alias("i", "key"), "keys",
     ).withColumn("prev", F.when(F.col("i") > 0, F.get("keys", F.col("i") - 1))).drop("keys")
-    lists = _of_shared_keys(listed, labels)
-    stats = lists.groupBy("key").count().agg(F.sum(F.col("count") ** 2).alias("s2")).first()
-    entries = listed.count()
-    boundary = _boundary((stats.s2 or 0) / max(1, entries), percent)
+    lists = _of_shared_keys(listed, about)
+    scans = lists.groupBy("key").count().agg(F.sum(F.col("count") ** 2)).first()[0] or 0
+    entries = nodes.agg(F.sum(F.size("keys") - (F.col("n") > 1).cast("int"))).first()[0] or 1
+    boundary = _boundary(scans / entries, percent)
     a, b = lists.alias("a"), lists.alias("b")
-    apart = _most_apart(percent, F.col("a.n"), F.col("b.n"))
+    chosen = [F.col("a.node").alias("a"), F.col("b.node").alias("b"), F.col("a.label").alias("la"),
+              F.col("b.label").alias("lb"), _apart("a", "b").alias("apart")]
     scanned = a.join(
         b, (F.col("a.key") == F.col("b.key")) & (F.col("a.node") < F.col("b.node"))
         & (F.col("a.label") != F.col("b.label")) & (F.greatest("a.n", "b.n") > boundary)
-        & (F.col("a.i") + F.col("b.i") <= apart)
+        & (F.col("a.i") + F.col("b.i") <= _most_apart(percent, F.col("a.n"), F.col("b.n")))
         & (F.col("a.prev").isNull() | F.col("b.prev").isNull() | (F.col("a.prev") != F.col("b.prev")))
-        & _may_link(percent, "a", "b")).select(F.col("a.node").alias("a"), F.col("b.node").alias("b"))
+        & _may_link(percent, "a", "b")).select(*chosen)
     light = nodes.filter((F.col("n") > 1) & (F.col("n") <= boundary))
     pairs_of_keys = F.flatten(F.transform("keys", lambda x, i: F.transform(
         F.slice("keys", i + 2, F.size("keys")), lambda y: F.xxhash64(x, y))))
-    subsets = _of_shared_keys(light.select("node", "n", *_BITS, F.explode(pairs_of_keys).alias("key")), labels)
+    subsets = _of_shared_keys(light.select("row", F.explode(pairs_of_keys).alias("key")), about)
     a, b = subsets.alias("a"), subsets.alias("b")
     met = a.join(
         b, (F.col("a.key") == F.col("b.key")) & (F.col("a.node") < F.col("b.node"))
-        & (F.col("a.label") != F.col("b.label")) & _may_link(percent, "a", "b")).select(
-        F.col("a.node").alias("a"), F.col("b.node").alias("b"))
-    more = verify(scanned.union(met))
-    labels = written(components(links.union(more)), "labels")
+        & (F.col("a.label") != F.col("b.label")) & _may_link(percent, "a", "b")).select(*chosen)
+    candidates = written(scanned.union(met).distinct().withColumn("pair", F.monotonically_increasing_id()), "candidates")
+    # of all pairs between two components the likeliest first; what it joins needs no other check
+    likeliest = candidates.groupBy(F.least("la", "lb"), F.greatest("la", "lb")).agg(
+        F.min_by("pair", "apart").alias("pair")).select("pair")
+    links = links.union(verify(candidates.join(likeliest, "pair", "left_semi")))
+    now = written(components(links), "labels")
+    rest = candidates.join(likeliest, "pair", "left_anti")
+    for end in ("a", "b"):
+        rest = rest.join(now.select(F.col("node").alias(end), F.col("label").alias(f"now_{end}")), end, "left")
+    links = links.union(verify(rest.filter("coalesce(now_a, a) <> coalesce(now_b, b)")))
+    labels = written(components(links), "labels")
 
     lowest = sketch.filter("node is not null").groupBy("node").agg(
         F.min("doc_id").alias("low"), F.min("row").alias("any_row"), F.min_by("row", "doc_id").alias("low_row"))
@@ -234,12 +262,15 @@ def _star_pairs(narrow: DataFrame, key: str, percent: int) -> DataFrame:
         _may_link(percent, "m", "c")).select(F.col("m.centre").alias("a"), F.col("m.node").alias("b"))
 
 
-def _of_shared_keys(listed: DataFrame, labels: DataFrame) -> DataFrame:
-    """List entries whose key stands in two nodes or more, with the nodes' labels; written, as it is joined with itself."""
+def _of_shared_keys(listed: DataFrame, about: DataFrame) -> DataFrame:
+    """List entries whose key stands in two nodes or more, with what is known of the nodes.
+
+    Entries are shuffled bare, since most keys are rare; the few that stay are
+    completed and written, as they are joined with themselves.
+    """
     dealt = listed.repartition("key")
-    shared = dealt.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo <> hi").select("key")
-    kept = dealt.join(shared, "key", "left_semi").join(labels, "node", "left")
-    return written(kept.withColumn("label", F.coalesce("label", "node")), "lists")
+    shared = dealt.groupBy("key").agg(F.min("row").alias("lo"), F.max("row").alias("hi")).filter("lo <> hi").select("key")
+    return written(dealt.join(shared, "key", "left_semi").join(about, "row"), "lists")
 
 
 def _boundary(list_length: float, percent: int) -> int:
