@@ -255,6 +255,12 @@ def uploads(documents: DataFrame) -> DataFrame:
     )
 
 
+def batched_stream(df: DataFrame, key: str, path: str, files: int = 4) -> DataFrame:
+    """A table written as ``files`` files by hash of ``key``, and read as a stream of one file a batch."""
+    df.repartition(files, key).write.parquet(path)
+    return df.sparkSession.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
 def file_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A driver table as a file stream."""
     schema = table(spark, sf_dir, name).schema

@@ -119,12 +119,19 @@ def current_states(spark: SparkSession, out: str) -> DataFrame:
 def dedupe_results(results: DataFrame) -> DataFrame:
     """The first delivery of each task within the result life; state is dropped after it.
 
-    Input must arrive about in time order: a row later than the watermark is
-    dropped, and the count of such rows shows in the query progress.
+    Input should arrive about in time order: a row later than the watermark is
+    dropped here, and the count of such rows shows in the query progress;
+    ``settle_late`` finds the tasks that this leaves out.
     """
     return results.withWatermark("ts", RESULT_LIFE).dropDuplicatesWithinWatermark(["task_id"])
 
 
+def settle_late(delivered: DataFrame, kept: DataFrame) -> DataFrame:
+    """First delivery of the tasks of which every delivery came too late for ``dedupe_results``."""
+    missed = delivered.join(kept.select("task_id"), "task_id", "left_anti")
+    return missed.groupBy("task_id").agg(F.min("ts").alias("ts"))
+
+
 def start_append(stream: DataFrame, out: str, checkpoint: str):
     return (
         stream.writeStream.format("parquet")

@@ -59,6 +59,53 @@ def test_malformed_line_fails(spark, tmp_path):
         annotations.read_annotations(spark, str(tmp_path)).collect()
 
 
+def test_malformed_line_fails_without_its_column(spark, tmp_path):
+    (tmp_path / "a.jsonl").write_text('{"n":0}\n{bad\n')
+    with pytest.raises(Exception, match="malformed JSON line"):
+        annotations.read_annotations(spark, str(tmp_path)).count()
+
+
+def test_lines_survive_other_splits(spark, tmp_path):
+    """Splits may differ between the time a frame is built and the time it runs."""
+    (tmp_path / "a.jsonl").write_text("".join(f'{{"n":{n},"pad":"{"x" * 50}"}}\n' for n in range(20_000)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        lines = annotations.json_lines(spark, str(tmp_path))
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+        got = lines.select("ordinal", F.get_json_object("json", "$.n").cast("int").alias("n")).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert len(got) == 20_000 and all(r.ordinal == r.n for r in got)
+
+
+def test_incomplete_samples_fail(spark, tmp_path):
+    import io
+    import tarfile
+
+    def packed(name, members):
+        (tmp_path / name).mkdir()
+        with tarfile.open(tmp_path / name / "000000.tar", "w") as tar:
+            for member in members:
+                info = tarfile.TarInfo(member)
+                info.size = 2
+                tar.addfile(info, io.BytesIO(b"{}"))
+        return shards.read_shards(spark, str(tmp_path / name))
+
+    assert packed("whole", ["0.jpg", "0.json", "1.json", "1.jpg", "1.txt"]).count() == 2
+    for i, members in enumerate((["0.jpg"], ["0.json", "1.jpg", "1.json"], ["0.png", "0.json"], ["0.jpg", "0.json", "1.txt"])):
+        with pytest.raises(Exception, match="incomplete sample"):
+            packed(f"broken{i}", members).collect()
+
+
+def test_listing_below_a_repeated_name(spark, tmp_path):
+    deep = tmp_path / "img" / "sub" / "img"
+    deep.mkdir(parents=True)
+    (deep / "f.jpg").write_bytes(b"x")
+    assert [r.key for r in images.list_prefix(spark, str(tmp_path / "img")).collect()] == ["sub/img/f.jpg"]
+    assert [r.name for r in images.list_folder(spark, str(tmp_path / "img")).collect()] == ["sub"]
+    assert images.list_prefix(spark, str(tmp_path / "img"), "x").count() == 0
+
+
 def test_eval_jobs_and_sink(spark, tmp_path):
     df = spark.createDataFrame([("x.jpg", '{"total": 1,\r\n"store": null}')], "image_path string, annotation string")
     annotations.write_json_lines(df.withColumn("gone", F.lit(None).cast("string")), f"{tmp_path}/out")

@@ -38,6 +38,68 @@ def test_retries_stay_in_the_row(spark):
     assert got[3].raw == "later" and got[3].attempt <= 3
 
 
+class Counted(Runner):
+    """Notes every build and call in files of a folder."""
+
+    model_id = "counted"
+    folder = ""
+
+    def __init__(self):
+        self._note("built")
+
+    def _note(self, what):
+        import os
+        import uuid
+
+        open(f"{type(self).folder}/{what}-{os.getpid()}-{uuid.uuid4().hex}", "w").close()
+
+    def extract(self, image):
+        self._note("call")
+        if image == b"bad":
+            raise ValueError("no")
+        return image.decode()
+
+
+def test_builds_and_calls(spark, tmp_path):
+    """One build in each worker process, one call for each good row, all attempts for a bad one."""
+    folder = str(tmp_path)
+
+    class Here(Counted):
+        pass
+
+    Here.folder = folder
+    df = spark.createDataFrame([(i, b"bad" if i == 99 else b"ok") for i in range(100)], "i int, content binary").repartition(8)
+    got = predict(df, "counted", Here).collect()
+    names = [p.name.split("-") for p in tmp_path.iterdir()]
+    builds = [pid for what, pid, _ in names if what == "built"]
+    assert len(builds) == len(set(builds))
+    assert sum(what == "call" for what, *_ in names) == 99 + 4
+    assert {r.i: r.attempt for r in got} == {i: 4 if i == 99 else 1 for i in range(100)}
+
+
+def test_model_that_does_not_load(spark, tmp_path):
+    class Broken(Echo):
+        def __init__(self):
+            raise RuntimeError("no weights")
+
+    df = spark.createDataFrame([("a", b"x")], "job_id string, content binary")
+    r = predict(df, "broken", Broken).first()
+    assert (r.attempt, r.raw, r.error) == (0, None, "model not loaded: no weights")
+    jobs = df.withColumn("content_type", F.lit("image/png"))
+    assert stream.extract(jobs, "broken", Broken).first().status_code == 503
+
+
+def test_late_results_are_settled(spark, tmp_path):
+    rows = [(i, f"2024-01-{1 + (i * 11) % 28:02d} 00:00:00") for i in range(60)] * 2
+    results = spark.createDataFrame(rows, "task_id int, ts string").select("task_id", F.to_timestamp("ts").alias("ts"))
+    results.repartition(5, "task_id").write.parquet(f"{tmp_path}/in")
+    source = spark.readStream.schema(results.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    stream.start_append(stream.dedupe_results(source), f"{tmp_path}/o", f"{tmp_path}/c").awaitTermination()
+    kept = spark.read.parquet(f"{tmp_path}/o")
+    late = stream.settle_late(results, kept)
+    assert late.count() > 0 and kept.select("task_id").union(late.select("task_id")).count() == 60
+
+
 def test_images_to_tables(spark, tmp_path):
     inbox = tmp_path / "inbox"
     inbox.mkdir()
@@ -74,7 +136,7 @@ def test_states_and_dedupe(spark, tmp_path):
     stream.start_job_states(source, f"{tmp_path}/o", f"{tmp_path}/c").awaitTermination()
     got = sorted(map(tuple, stream.current_states(spark, f"{tmp_path}/o").collect()))
     want = sorted(map(tuple, J.latest_state(events).collect()))
-    assert len(got) == 4 and [g[0] for g in got] == [w[0] for w in want]
+    assert len(got) == 4 and got == want
 
     results = events.select(F.col("job_id").alias("task_id"), "ts")
     results.orderBy("ts").coalesce(1).write.parquet(f"{tmp_path}/r")
