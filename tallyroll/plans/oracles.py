@@ -647,7 +647,7 @@ SELECT page_id AS receipt_id, CAST(CASE WHEN page_id % 3 = 0 THEN 3 ELSE 1 END A
         "stream_dedupe_results": "SELECT event_id AS task_id, CAST(1 AS BIGINT) AS n FROM events GROUP BY ALL",
         "stream_extract": _with(GT, CORD_LINES)
         + """ SELECT code AS status_code, CASE WHEN code = 200 THEN 'true' ELSE 'false' END AS valid, count(*) AS n
-FROM (SELECT CAST(CASE order_key % 8 WHEN 1 THEN 415 WHEN 2 THEN 500 WHEN 3 THEN 500 ELSE 200 END AS INT) AS code FROM cord) GROUP BY ALL""",
+FROM (SELECT CAST(CASE order_key % 8 WHEN 1 THEN 415 WHEN 2 THEN 500 WHEN 3 THEN 500 WHEN 4 THEN 503 ELSE 200 END AS INT) AS code FROM cord) GROUP BY ALL""",
         "predict_documents": r"""
 SELECT CAST(doc_id AS VARCHAR) AS job_id, 'text' AS model_id, CAST(1 AS INT) AS attempt,
   list_filter(list_transform(string_split_regex(text, '\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e]|\x{85}|\x{2028}|\x{2029}'),
