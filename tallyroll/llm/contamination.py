@@ -18,7 +18,7 @@ from ..session import written
 _WORD_BYTES = bytes(
     b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 _WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-_CHUNK = 1 << 21  # words that are inverted at a time
+_CHUNK = 1 << 20  # words that are inverted at a time
 
 
 def words_of(text: bytes | None) -> list[bytes]:
@@ -166,7 +166,7 @@ def _checked(window: int, slop: int, near: int) -> Callable:
 
 def find_contamination(
     docs: DataFrame, items: DataFrame, *, window: int = 10, slop: int = 3, near: int = 8,
-    list_bound: int = 1000, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
+    common: float = 1e-5, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
     item_text_col: str = "text",
 ) -> DataFrame:
     """Words of every text that stand in an occurrence of a test window, and the items found.
@@ -176,8 +176,8 @@ def find_contamination(
 
     Postings of all training words are stored (`build_index`). Each test window looks
     up the list of its rarest term; position less offset is the shift at which the
-    item would lie in the text. If that list is longer than ``list_bound``, it is first
-    intersected with the shifted list of the next rarest term. Shifts of one item share
+    item would lie in the text. If that list holds more than a share ``common`` of all words,
+    it is first intersected with the shifted list of the next rarest term. Shifts of one item share
     one check of the whole item against the text, which gives exact windows, and
     proximity matches: items without an exact window, of which some window has at
     least ``near`` in ``window`` words within ``slop`` places of where they should be.
@@ -196,8 +196,9 @@ def find_contamination(
     ).filter(F.size("words") > 0)
     tests = written(tests.dropDuplicates(["item_id", "ikey"]), "tests")
     anchors = written(_anchors(tests, index, window), "anchors")
-    long = anchors.filter((F.col("n") > list_bound) & (F.col("o") != F.col("o2")))
-    short = anchors.filter((F.col("n") <= list_bound) | (F.col("o") == F.col("o2")))
+    words = index.filter("term <> ''").agg(F.sum("n")).first()[0] or 0
+    long = anchors.filter((F.col("n") > common * words) & (F.col("o") != F.col("o2")))
+    short = anchors.filter((F.col("n") <= common * words) | (F.col("o") == F.col("o2")))
 
     def shifts(some: DataFrame, term: str, o: str, *more: str) -> DataFrame:
         lists = _postings(index, written(some.select(F.col(term).alias("term")).distinct(), "anchor-terms"))
