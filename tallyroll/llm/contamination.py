@@ -180,7 +180,8 @@ def find_contamination(
     it is first intersected with the shifted list of the next rarest term. Shifts of one item share
     one check of the whole item against the text, which gives exact windows, and
     proximity matches: items without an exact window, of which some window has at
-    least ``near`` in ``window`` words within ``slop`` places of where they should be.
+    least ``near`` in ``window`` words, the rarest among them, within ``slop`` places of where
+    they should be.
 
     Null and empty texts have no words and no hits; null or empty items have no
     windows; items without an id hit words but are not listed, repeated ids are listed
@@ -205,9 +206,11 @@ def find_contamination(
         return lists.join(some.withColumn("term", F.col(term)), "term").select(
             "ikey", "key", (F.col("at") - F.col(o)).alias("shift"), *more)
 
+    second = shifts(long.select("ikey", "term2", "o", "o2").distinct(), "term2", "o2", "o", "o2")
+    if slop:  # a word put in or left out between the two terms moves the second
+        second = second.withColumn("shift", F.explode(F.sequence(F.col("shift") - slop, F.col("shift") + slop))).distinct()
     both = shifts(long.select("ikey", "term", "o", "o2").distinct(), "term", "o", "o", "o2").join(
-        shifts(long.select("ikey", "term2", "o", "o2").distinct(), "term2", "o2", "o", "o2"),
-        ["ikey", "key", "shift", "o", "o2"]).select("ikey", "key", "shift")
+        second, ["ikey", "key", "shift", "o", "o2"]).select("ikey", "key", "shift")
     found = written(
         shifts(short.select("ikey", "term", "o").distinct(), "term", "o").union(both).distinct(), "shifts")
 
