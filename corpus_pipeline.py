@@ -10,13 +10,13 @@ from pyspark.sql import functions as F
 from tallyroll.llm import contamination, jaccard, langid, packing, pii
 from tallyroll.session import ship_package, written
 
-LEAST_SHARE = 0.5  # of a text's words in its main language
+LEAST_SHARE = 0.4  # of a text's words in its main language; a text in two languages stays
 KEY = "corpus-2025"
 CAPACITY = 2048
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without letters, or without a language of at least half of the words, go."""
+    """Texts without letters, or without a language of at least two fifths of the words, go."""
     ship_package(spark)
     model = langid.train(langid.training_rows(docs))
     found = langid.label_languages(docs, model, spans=False, keep_row=True)
