@@ -171,7 +171,7 @@ def link_documents(
     texts = base.withColumn("th", F.xxhash64("text"))
 
     def verify(pairs: DataFrame) -> DataFrame:
-        pairs = written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+        pairs = written(pairs.select("a", "b").distinct(), "pairs")
         ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
         named = nodes.select("node", "doc_id", "th").join(ends, "node", "left_semi").select(
             "node", F.col("doc_id").alias("_id"), "th")
@@ -179,15 +179,14 @@ def link_documents(
             "node", F.col("text").cast("binary").alias("text"))
         sides = pairs.join(found.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a").join(
             found.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
-        return written(sides.mapInArrow(_verified(shingle, percent), "u long, v long").distinct(), "links")
+        return written(sides.mapInArrow(_verified(shingle, percent), "u long, v long"), "links")
 
     narrow = nodes.select("node", "doc_id", "n", *_BITS, F.element_at("keys", 1).alias("k1"),
                           F.try_element_at("keys", F.lit(2)).alias("k2"))
     stars = [_star_pairs(narrow, k, percent) for k in ("k1", "k2")]
     links = verify(stars[0].union(stars[1]))
-    labels = written(components(links), "labels")
-
-    about = nodes.select("row", "node", "n", *_BITS).join(labels, "node", "left").withColumn(
+    starred = links.groupBy(F.col("v").alias("node")).agg(F.min("u").alias("label"))  # u is the centre
+    about = nodes.select("row", "node", "n", *_BITS).join(starred, "node", "left").withColumn(
         "label", F.coalesce("label", "node"))
     listed = nodes.select(
         "row", F.posexplode(F.slice("keys", 1, F.size("keys") - (F.col("n") > 1).cast("int"))).alias("i", "key"), "keys",
@@ -218,7 +217,7 @@ def link_documents(
     likeliest = candidates.groupBy(F.least("la", "lb"), F.greatest("la", "lb")).agg(
         F.min_by("pair", "apart").alias("pair")).select("pair")
     links = links.union(verify(candidates.join(likeliest, "pair", "left_semi")))
-    now = written(components(links), "labels")
+    now = written(components(links, rounds=1), "labels")
     rest = candidates.join(likeliest, "pair", "left_anti")
     for end in ("a", "b"):
         rest = rest.join(now.select(F.col("node").alias(end), F.col("label").alias(f"now_{end}")), end, "left")
