@@ -66,3 +66,14 @@ def test_surrogates_are_distinct(spark):
 
 def test_no_rows(spark):
     assert run(spark, []) == []
+
+
+def test_addresses_before_a_full_stop(spark):
+    texts = ["Mail jane@mail.example.com. Then wait.", "Mail jane@mail.example.com.", "jane@mail.example.com.\nNext",
+             "to jane@mail.example.com.5 more", "jane@mail.example.com... or jane@mail.example.com, ok", "jane@b. no", "a@" + "b." * 50_000 + " z"]
+    got = {r.doc_id: r for r in run(spark, list(enumerate(texts)))}
+    new = re.fullmatch(r"Mail (\w+@\w+\.example\.com)\. Then wait\.", got[0].text)[1]
+    assert new != "jane@mail.example.com"
+    for i, text in enumerate(texts):
+        assert got[i].text == text.replace("jane@mail.example.com", new)
+        assert got[i].pii_types == ["email"] * text.count("jane@mail.example.com")
