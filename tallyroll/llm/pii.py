@@ -9,6 +9,11 @@ from ..session import written
 
 #: Titles before names (fixed values).
 _TITLES = "Mr|Mrs|Ms|Miss|Herr|Frau|Monsieur|Madame|Señor|Señora|Sr|Sra|Г-н|Г-жа|Κος|Κα"
+#: Lower-case words inside names, the longer ones first; they stay (fixed values).
+_PARTICLES = "della|degli|dell|dalla|dos|das|dal|del|den|der|des|di|da|de|do|du|van|von|vom|zum|zur|zu|ten|ter|te|la|le|lo|el|al|bin|ibn|af|av|y|e|[dl]['’]"
+#: One word of a name: inner capitals and apostrophes belong to it, a possessive or contracted ending does not.
+_WORD = r"\p{Lu}[\p{L}\p{M}]*+(?:['’](?!(?:s|S|d|m|t|ll|re|ve)(?![\p{L}\p{M}]))[\p{L}\p{M}]++)*+"
+_UNIT = r"(?:\p{Lu}\.[ -]?+){0,8}(?:(?:" + _PARTICLES + r")[ -]?+){0,8}" + _WORD
 #: Detection patterns by type, tried in this order (fixed values; each starts at a word edge and
 #: runs possessively, so a long text without matches costs linear time).
 PATTERNS = {
@@ -23,8 +28,8 @@ PATTERNS = {
     "phone": r"(?<![\d+])(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}(?!\d)"
              r"|(?<![\d+])\+\d{1,3}[ .-]?\d{2,4}(?:[ .-]?\d{2,4}){1,4}+(?!\d)"
              r"|(?<![\d.-])\d{3}[ .-]\d{3}[ .-]\d{4}(?![\d-])",
-    "person": r"(?<!\p{L})(?:" + _TITLES + r")\.? "
-              r"\p{Lu}\p{Ll}++(?:[ -]\p{Lu}\p{Ll}++){0,2}+",
+    "person": r"(?<!\p{L})(?:" + _TITLES + r")\.? " + _UNIT
+              + r"(?:[ -](?!(?:" + _TITLES + r")(?![\p{L}\p{M}]))" + _UNIT + ")*+",
 }
 _BY_DIGIT = ("ip", "ssn", "card", "phone")
 #: One pass for all: numbers are tried at a digit, plus or bracket only, the rest at the start of a word only.
@@ -33,7 +38,7 @@ ANY = (
     + r")|(?=[0-9+(])(?:" + "|".join(f"(?:{PATTERNS[n]})" for n in _BY_DIGIT) + ")"
 )
 #: What every match has: a digit, an at sign or a title. Quick to test for texts without any.
-_SIGN, _TITLED = r"[0-9@]", r"(?=[MHFSГΚ])(?:" + _TITLES + r")\.? \p{Lu}"
+_SIGN, _TITLED = r"[0-9@]", r"(?=[MHFSГΚ])(?:" + _TITLES + r")\.? \p{L}"
 #: Titles of women (fixed values); the other titles are men's.
 _FEMALE = r"^(?:Mrs|Ms|Miss|Frau|Madame|Señora|Sra|Г-жа|Κα)\b"
 _TITLE = r"^\S+ "
@@ -57,11 +62,33 @@ def _digits(value: Column) -> Column:
     return F.regexp_replace(value, r"\D", "")
 
 
+def _capitalised(word: Column) -> Column:
+    return F.concat(F.upper(F.substring(word, 1, 1)), F.lower(F.substring(word, F.lit(2), F.length(word))))
+
+
+def _capitals(word: Column) -> Column:
+    return (F.length(word) > 1) & (word == F.upper(word))
+
+
+def _mention(text: Column) -> Column:
+    """The pattern of all mentions in a text: ANY, and the words of its titled names wherever they recur.
+
+    Words recur as they are, in capitals, or with one capital. Single letters are no names of their own.
+    """
+    titled = F.filter(F.regexp_extract_all(text, F.lit(ANY), F.lit(0)), lambda v: v.rlike(f"^{PATTERNS['person']}$"))
+    words = F.flatten(F.transform(titled, lambda v: F.regexp_extract_all(F.regexp_replace(v, _TITLE, ""), F.lit(_WORD), F.lit(0))))
+    words = F.filter(F.array_distinct(words), lambda w: F.length(w) > 1)
+    forms = F.array_distinct(F.flatten(F.transform(words, lambda w: F.array(w, F.upper(w), _capitalised(w)))))
+    again = F.concat(F.lit(ANY + r"|(?<![\p{L}\p{M}\p{N}])(?:"), F.array_join(F.sort_array(forms, asc=False), "|"),
+                     F.lit(r")(?![\p{L}\p{M}\p{N}])"))
+    return F.when(text.rlike(_TITLED) & (F.size(forms) > 0), again).otherwise(F.lit(ANY))
+
+
 def canonical(kind: Column, value: Column) -> Column:
-    """What makes two mentions one entity: digits of numbers, lower case of addresses."""
+    """What makes two mentions one entity: digits of numbers, lower case of addresses, a capital and lower case of names."""
     return (F.when(kind.isin("phone", "card", "ssn"), _digits(value))
             .when(kind == "iban", F.replace(value, F.lit(" "), F.lit("")))
-            .when(kind == "email", F.lower(value)).otherwise(value))
+            .when(kind == "email", F.lower(value)).when(kind == "person", _capitalised(value)).otherwise(value))
 
 
 def _noise(seed: Column, i: Column, n: int) -> Column:
@@ -138,6 +165,7 @@ def formatted(kind: Column, value: Column, replacement: Column) -> Column:
         a != F.lower(a), F.upper(b)).otherwise(b)), "")
     return (F.when(kind == "phone", refill(r"\D", country)).when(kind.isin("card", "ssn"), refill(r"\D", F.lit(0)))
             .when(kind == "iban", refill(" ", F.lit(0)))
+            .when((kind == "person") & _capitals(value), F.upper(replacement))
             .when((kind == "email") & (F.length(value) == F.length(replacement)), cased).otherwise(replacement))
 
 
@@ -174,7 +202,9 @@ def pseudonymise(docs: DataFrame, key: str, *, id_col: str = "doc_id", text_col:
     ones. Numbers keep separators, country code and (cards) a valid checksum, keys
     their prefix, addresses their top-level domain and case, names their script and
     the gender of the title; each word of a name is replaced for itself, so a surname
-    alone refers to the same person.
+    alone refers to the same person. A name is the whole run of capitalised words after
+    a title; its words are replaced wherever they recur in the text, with a title or
+    without. Particles, titles and possessive endings stay.
 
     Texts without entities are not touched or shuffled. Null texts stay null, empty
     ones empty, with no types. Repeated rows are replaced alike. An empty table gives
@@ -185,11 +215,12 @@ def pseudonymise(docs: DataFrame, key: str, *, id_col: str = "doc_id", text_col:
     names = docs.columns
     has = F.coalesce((text.rlike(_SIGN) | text.rlike(_TITLED)) & text.rlike(ANY), F.lit(False))
     ids = [F.xxhash64(id_col, text_col).alias("_pii_a"), F.hash(id_col, text_col).alias("_pii_b")]
-    dirty = docs.filter(has)
-    found = dirty.select(*ids, F.posexplode(F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).alias("i", "value"))
-    found = found.withColumn("kind", entity_type(F.col("value")))
+    dirty = docs.filter(has).withColumn("_pii_mention", _mention(text))
+    found = dirty.select(*ids, F.posexplode(F.regexp_extract_all(text, F.col("_pii_mention"), F.lit(0))).alias("i", "value"))
+    found = found.withColumn("kind", F.coalesce(entity_type(F.col("value")), F.lit("person")))  # a name that recurs fits no type
     is_person = F.col("kind") == "person"
-    words = F.when(is_person, F.split(F.regexp_replace("value", _TITLE, ""), "[ -]")).otherwise(F.array("value"))
+    rest = F.regexp_replace("value", _TITLE, "")
+    words = F.when(is_person, F.regexp_extract_all(rest, F.lit(_WORD), F.lit(0))).otherwise(F.array("value"))
     mentions = found.withColumn("female", is_person & F.col("value").rlike(_FEMALE)).select(
         "_pii_a", "_pii_b", "i", "value", "kind", "female", F.posexplode(words).alias("j", "word")).withColumn(
         "canon", canonical(F.col("kind"), F.col("word")))
@@ -201,11 +232,11 @@ def pseudonymise(docs: DataFrame, key: str, *, id_col: str = "doc_id", text_col:
     whole = replaced.groupBy("_pii_a", "_pii_b", "i", "kind", "value").agg(
         F.sort_array(F.collect_set(F.struct("j", "new"))).alias("w")).withColumn("w", F.col("w.new"))
     title = F.regexp_extract("value", _TITLE, 0)
-    gaps = F.regexp_extract_all(F.regexp_replace("value", _TITLE, ""), F.lit("[ -]"), F.lit(0))
-    joined = F.concat(title, F.array_join(F.zip_with("w", gaps, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), ""))
+    gaps = F.split(rest, _WORD, -1)
+    joined = F.concat(title, F.array_join(F.zip_with(gaps, "w", lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), ""))
     whole = whole.withColumn("new", F.when(F.col("kind") == "person", joined).otherwise(F.get("w", F.lit(0))))
     per_text = whole.groupBy("_pii_a", "_pii_b").agg(F.sort_array(F.collect_list(F.struct("i", "new", "kind"))).alias("_pii_new"))
-    parts = F.split(text, ANY, -1)
+    parts = F.split(text, F.col("_pii_mention"), -1)
     filled = F.array_join(F.zip_with(parts, F.col("_pii_new.new"), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
     changed = dirty.withColumns(dict(zip(("_pii_a", "_pii_b"), ids, strict=True))).join(
         per_text, ["_pii_a", "_pii_b"]).select(

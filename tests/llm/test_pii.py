@@ -77,3 +77,29 @@ def test_addresses_before_a_full_stop(spark):
     for i, text in enumerate(texts):
         assert got[i].text == text.replace("jane@mail.example.com", new)
         assert got[i].pii_types == ["email"] * text.count("jane@mail.example.com")
+
+
+def test_whole_names_wherever_they_recur(spark):
+    texts = [
+        "Mr. Juan Carlos Garcia Lopez Perez came. Lopez said so.", "Mr. McDonald left; McDonald's car. MCDONALD!", "Mr. O'Brien and O'Brien’s dog",
+        "Smith said: Mr. John Smith is in, Smithers out, x/Smith", "Herr Ludwig van der Berg, Frau von Stein, Berg", "Mr. J. R. Smith Mrs. JONES",
+        "Mr. D'Angelo-Smith", "Smith and Jones without a title", "Г-н Иван Петров; Петров, ПЕТРОВ",
+    ]
+    got = {r.doc_id: r for r in run(spark, list(enumerate(texts)))}
+    n = r"([A-Z]\w+)"
+    shape = lambda i, pattern: re.fullmatch(pattern, got[i].text).groups()
+    a = shape(0, rf"Mr\. {n} {n} {n} {n} {n} came\. {n} said so\.")
+    assert a[3] == a[5] and len(set(a)) == 5 and not set(a) & set(re.findall(r"\w+", texts[0]))
+    b = shape(1, rf"Mr\. {n} left; {n}'s car\. {n}!")
+    assert b[0] == b[1] != "McDonald" and b[2] == b[0].upper()
+    c = shape(2, rf"Mr\. {n} and {n}’s dog")
+    assert c[0] == c[1] and "Brien" not in c[0]
+    d = shape(3, rf"{n} said: Mr\. {n} {n} is in, Smithers out, x/{n}")
+    assert d[0] == d[2] == d[3] != "Smith" and got[3].pii_types == ["person"] * 3
+    e = shape(4, rf"Herr {n} van der {n}, Frau von {n}, {n}")
+    assert e[1] == e[3] != "Berg" and e[2] != "Stein"
+    f = shape(5, rf"Mr\. {n}\. {n}\. {n} Mrs\. {n}")
+    assert f[2] == d[0] and f[3].isupper() and f[3] != "JONES" and got[5].pii_types == ["person"] * 2
+    assert shape(6, rf"Mr\. {n}-{n}")[1] == d[0] and (got[7].text, got[7].pii_types) == (texts[7], [])
+    g = re.fullmatch(r"Г-н (\w+) (\w+); (\w+), (\w+)", got[8].text)
+    assert g[2] == g[3] != "Петров" and g[4] == g[2].upper()
