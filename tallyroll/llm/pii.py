@@ -32,13 +32,16 @@ PATTERNS = {
               + r"(?:[ -](?!(?:" + _TITLES + r")(?![\p{L}\p{M}]))" + _UNIT + ")*+",
 }
 _BY_DIGIT = ("ip", "ssn", "card", "phone")
-#: One pass for all: numbers are tried at a digit, plus or bracket only, the rest at the start of a word only.
+#: One pass for all, with the matches of the plain union: numbers are tried at a digit, plus or bracket only;
+#: the rest never stands after an ASCII letter, and each pattern asks for its own left edge.
 ANY = (
-    r"(?<![\p{L}\p{N}._%+-])(?=[\p{L}\p{N}._%+-])(?:" + "|".join(f"(?:{p})" for n, p in PATTERNS.items() if n not in _BY_DIGIT)
+    r"(?<![A-Za-z])(?=[\p{L}\p{N}._%+-])(?:" + "|".join(f"(?:{p})" for n, p in PATTERNS.items() if n not in _BY_DIGIT)
     + r")|(?=[0-9+(])(?:" + "|".join(f"(?:{PATTERNS[n]})" for n in _BY_DIGIT) + ")"
 )
-#: What every match has: a digit, an at sign or a title. Quick to test for texts without any.
-_SIGN, _TITLED = r"[0-9@]", r"(?=[MHFSГΚ])(?:" + _TITLES + r")\.? \p{L}"
+#: What every match has: a digit, an at sign, the prefix of a key, 32 letters of a hexadecimal number, or a title.
+#: Quick to test for texts without any.
+_SIGN = r"[0-9@]|AKIA|ASIA|gh[pousr]_|sk-|[a-f]{32}"
+_TITLED = r"(?=[MHFSГΚ])(?:" + _TITLES + r")\.? \p{L}"
 #: Titles of women (fixed values); the other titles are men's.
 _FEMALE = r"^(?:Mrs|Ms|Miss|Frau|Madame|Señora|Sra|Г-жа|Κα)\b"
 _TITLE = r"^\S+ "
@@ -62,6 +65,11 @@ def _digits(value: Column) -> Column:
     return F.regexp_replace(value, r"\D", "")
 
 
+def may_have(text: Column) -> Column:
+    """True for every text with a match of ANY, and for some without."""
+    return text.rlike(_SIGN) | text.rlike(_TITLED)
+
+
 def _capitalised(word: Column) -> Column:
     return F.concat(F.upper(F.substring(word, 1, 1)), F.lower(F.substring(word, F.lit(2), F.length(word))))
 
@@ -213,7 +221,7 @@ def pseudonymise(docs: DataFrame, key: str, *, id_col: str = "doc_id", text_col:
     """
     text = F.col(text_col)
     names = docs.columns
-    has = F.coalesce((text.rlike(_SIGN) | text.rlike(_TITLED)) & text.rlike(ANY), F.lit(False))
+    has = F.coalesce(may_have(text) & text.rlike(ANY), F.lit(False))
     ids = [F.xxhash64(id_col, text_col).alias("_pii_a"), F.hash(id_col, text_col).alias("_pii_b")]
     dirty = docs.filter(has).withColumn("_pii_mention", _mention(text))
     found = dirty.select(*ids, F.posexplode(F.regexp_extract_all(text, F.col("_pii_mention"), F.lit(0))).alias("i", "value"))

@@ -1,3 +1,4 @@
+import random
 import re
 
 from pyspark.sql import functions as F
@@ -103,3 +104,22 @@ def test_whole_names_wherever_they_recur(spark):
     assert shape(6, rf"Mr\. {n}-{n}")[1] == d[0] and (got[7].text, got[7].pii_types) == (texts[7], [])
     g = re.fullmatch(r"Г-н (\w+) (\w+); (\w+), (\w+)", got[8].text)
     assert g[2] == g[3] != "Петров" and g[4] == g[2].upper()
+
+
+def test_one_pass_finds_what_the_patterns_find(spark):
+    rnd = random.Random(3)
+    some = ["a" * 8 + "0123456789abcdef" * 2, "abcdef" * 6, "AKIA" + "ABCDEFGHIJKLMNOP", "ghp_" + "Ab" * 18, "sk-" + "abcdefghij" * 2, "a@b.example.org",
+            "DE89 3704 0044 0532 0130 00", "10.2.3.4", "123-45-6789", "4524 1322 6465 2876", "+1 (269) 555-3296", "269-555-3296",
+            "Mr. Smith", "Herr von Berg", "Κος Παππας", "Г-н Петров"]
+    edges = ["", " ", "-", "_", ".", "%", "+", "x", "Z", "é", "я", "7", "(", "/", "token_", "sha-", ". "]
+    texts = [e + v + f for v in some for e in edges for f in ("", "-", "é")]
+    texts += ["".join(rnd.choice(edges) + rnd.choice(some) for _ in range(rnd.randint(1, 4))) for _ in range(300)]
+    union = "|".join(f"(?:{p})" for p in pii.PATTERNS.values())
+    text = F.col("text")
+    df = spark.createDataFrame([(t,) for t in texts], "text string").select(
+        "text", F.regexp_extract_all(text, F.lit(union), F.lit(0)).alias("want"), F.regexp_extract_all(text, F.lit(pii.ANY), F.lit(0)).alias("got"),
+        pii.may_have(text).alias("may"))
+    rows = df.collect()
+    assert [r for r in rows if r.want != r.got or (r.want and not r.may)] == []
+    by = {r.text: r.got for r in rows}
+    assert all(by[e + some[i]] for i in (0, 1) for e in ("-", "_", ".", "%", "+", "token_", "sha-")) and by[some[4]] == [some[4]]
