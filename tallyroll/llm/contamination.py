@@ -120,6 +120,39 @@ def _anchors(items: DataFrame, index: DataFrame, window: int) -> DataFrame:
                          second["term"].alias("term2"), second["o"].alias("o2")).distinct()
 
 
+def _near_cells(items: DataFrame, index: DataFrame, window: int, slop: int, near: int) -> DataFrame:
+    """(ikey, key, shift, width): runs of shifts that hold every proximity match, and so every exact window.
+
+    A window of m words that needs t of them misses m - t at most, so of its m - t + 2 rarest
+    places at least two are met (one, where t is 1); terms that no text has count as misses.
+    Two places met are at most twice ``slop`` apart in shift and share a cell of one of two
+    staggered grids.
+    """
+    terms = written(items.select(F.explode("words").alias("term")).distinct(), "test-terms")
+    counts = written(index.select("term", "n").join(terms, "term", "left_semi")
+                     .groupBy("term").agg(F.sum("n").alias("n")), "term-counts")
+    start = F.explode(F.sequence(F.lit(0), F.greatest(F.size("words") - window, F.lit(0)))).alias("s")
+    windows = items.select("ikey", "words", start).select(
+        "ikey", "s", F.least(F.size("words"), F.lit(window)).alias("m"),
+        F.posexplode(F.slice("words", F.col("s") + 1, window)).alias("j", "term"))
+    rated = windows.join(counts, "term", "left").select(
+        "ikey", "s", "m", F.coalesce("n", F.lit(0)).alias("n"), "term", (F.col("s") + F.col("j")).alias("o"))
+    needed = F.ceil(near * F.col("m") / F.lit(window)).cast("int")
+    ranked = rated.groupBy("ikey", "s", "m").agg(F.sort_array(F.collect_list(F.struct("n", "term", "o"))).alias("r")).select(
+        "ikey", F.least(needed, F.lit(2)).alias("least"),
+        F.explode(F.slice("r", F.lit(1), F.col("m") - needed + F.least(needed, F.lit(2)))).alias("a"))
+    anchors = written(ranked.filter("a.n > 0").select("ikey", "least", "a.term", "a.o").distinct(), "anchors")
+    lists = _postings(index, anchors.select("term").distinct()).join(anchors, "term").select(
+        "ikey", "least", "key", "o", (F.col("at") - F.col("o")).alias("shift"))
+    half = 2 * slop
+    cell = F.explode(F.array(*[
+        F.floor((F.col("shift") + g) / (2 * half + 2)) * (2 * half + 2) - g for g in (0, half + 1)])).alias("cell")
+    met = lists.select("ikey", "least", "key", "o", cell).groupBy("ikey", "least", "key", "cell").agg(
+        F.min("o").alias("lo"), F.max("o").alias("hi")).filter("least < 2 or lo < hi")
+    return written(met.select("ikey", "key", (F.col("cell") - slop).cast("int").alias("shift"),
+                              F.lit(2 * half + 1 + 2 * slop).alias("width")), "cells")
+
+
 def _postings(index: DataFrame, terms: DataFrame) -> DataFrame:
     """(term, key, at) for every occurrence of ``terms``; a small written table is broadcast by its size."""
     return index.join(terms, "term", "left_semi").select(
@@ -141,18 +174,19 @@ def _checked(window: int, slop: int, near: int) -> Callable:
                     item = items.get(c["item"])
                     if item is None:
                         item = items[c["item"]] = words_of(c["item"])
-                    least, at = min(window, len(item)), c["shift"]
-                    same = [0 <= at + j < len(words) and words[at + j] == w for j, w in enumerate(item)]
-                    run_length = 0
-                    for j, equal in enumerate(same):
-                        run_length = run_length + 1 if equal else 0
-                        if run_length >= least:
-                            hit[at + j + 1 - run_length : at + j + 1] = True
-                            exact_ids.add(c["item_id"])
-                    if slop and c["item_id"] not in exact_ids:
-                        there = [w in words[max(0, at + j - slop) : max(0, at + j + slop + 1)] for j, w in enumerate(item)]
-                        if any(sum(there[s : s + least]) * window >= near * least for s in range(len(item) - least + 1)):
-                            close_ids.add(c["item_id"])
+                    least = min(window, len(item))
+                    for at in range(c["shift"], c["shift"] + c["width"] + 1):
+                        same = [0 <= at + j < len(words) and words[at + j] == w for j, w in enumerate(item)]
+                        run_length = 0
+                        for j, equal in enumerate(same):
+                            run_length = run_length + 1 if equal else 0
+                            if run_length >= least:
+                                hit[at + j + 1 - run_length : at + j + 1] = True
+                                exact_ids.add(c["item_id"])
+                        if slop and c["item_id"] not in exact_ids | close_ids:
+                            there = [w in words[max(0, at + j - slop) : max(0, at + j + slop + 1)] for j, w in enumerate(item)]
+                            if any(sum(there[s : s + least]) * window >= near * least for s in range(len(item) - least + 1)):
+                                close_ids.add(c["item_id"])
                 hits.append(int(hit.sum()))
                 exact.append(sorted(i for i in exact_ids if i is not None))
                 close.append(sorted(i for i in close_ids - exact_ids if i is not None))
@@ -164,6 +198,26 @@ def _checked(window: int, slop: int, near: int) -> Callable:
     return run
 
 
+def _exact_shifts(tests: DataFrame, index: DataFrame, window: int, common: float) -> DataFrame:
+    """(ikey, key, shift, width 0) where an exact window may lie."""
+    anchors = written(_anchors(tests, index, window), "anchors")
+    words = index.filter("term <> ''").agg(F.sum("n")).first()[0] or 0
+    long = anchors.filter((F.col("n") > common * words) & (F.col("o") != F.col("o2")))
+    short = anchors.filter((F.col("n") <= common * words) | (F.col("o") == F.col("o2")))
+
+    def shifts(some: DataFrame, term: str, o: str, *more: str) -> DataFrame:
+        lists = _postings(index, written(some.select(F.col(term).alias("term")).distinct(), "anchor-terms"))
+        return lists.join(some.withColumn("term", F.col(term)), "term").select(
+            "ikey", "key", (F.col("at") - F.col(o)).alias("shift"), *more)
+
+    second = shifts(long.select("ikey", "term2", "o", "o2").distinct(), "term2", "o2", "o", "o2")
+    both = shifts(long.select("ikey", "term", "o", "o2").distinct(), "term", "o", "o", "o2").join(
+        second, ["ikey", "key", "shift", "o", "o2"]).select("ikey", "key", "shift")
+    found = written(
+        shifts(short.select("ikey", "term", "o").distinct(), "term", "o").union(both).distinct(), "shifts")
+    return found.withColumn("width", F.lit(0))
+
+
 def find_contamination(
     docs: DataFrame, items: DataFrame, *, window: int = 10, slop: int = 3, near: int = 8,
     common: float = 1e-5, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
@@ -177,11 +231,11 @@ def find_contamination(
     Postings of all training words are stored (`build_index`). Each test window looks
     up the list of its rarest term; position less offset is the shift at which the
     item would lie in the text. If that list holds more than a share ``common`` of all words,
-    it is first intersected with the shifted list of the next rarest term. Shifts of one item share
-    one check of the whole item against the text, which gives exact windows, and
+    it is first intersected with the shifted list of the next rarest term. Each shift is one
+    check of the whole item against the text, which gives exact windows. With ``slop``, shifts come
+    from several of a window's rarest terms (`_near_cells`), none of which must occur, and the check also gives
     proximity matches: items without an exact window, of which some window has at
-    least ``near`` in ``window`` words, the rarest among them, within ``slop`` places of where
-    they should be.
+    least ``near`` in ``window`` words within ``slop`` places of where they should be.
 
     Null and empty texts have no words and no hits; null or empty items have no
     windows; items without an id hit words but are not listed, repeated ids are listed
@@ -196,26 +250,10 @@ def find_contamination(
         F.col(item_text_col).alias("item"), F.regexp_extract_all(lower, F.lit(_WORDS), F.lit(0)).alias("words"),
     ).filter(F.size("words") > 0)
     tests = written(tests.dropDuplicates(["item_id", "ikey"]), "tests")
-    anchors = written(_anchors(tests, index, window), "anchors")
-    words = index.filter("term <> ''").agg(F.sum("n")).first()[0] or 0
-    long = anchors.filter((F.col("n") > common * words) & (F.col("o") != F.col("o2")))
-    short = anchors.filter((F.col("n") <= common * words) | (F.col("o") == F.col("o2")))
-
-    def shifts(some: DataFrame, term: str, o: str, *more: str) -> DataFrame:
-        lists = _postings(index, written(some.select(F.col(term).alias("term")).distinct(), "anchor-terms"))
-        return lists.join(some.withColumn("term", F.col(term)), "term").select(
-            "ikey", "key", (F.col("at") - F.col(o)).alias("shift"), *more)
-
-    second = shifts(long.select("ikey", "term2", "o", "o2").distinct(), "term2", "o2", "o", "o2")
-    if slop:  # a word put in or left out between the two terms moves the second
-        second = second.withColumn("shift", F.explode(F.sequence(F.col("shift") - slop, F.col("shift") + slop))).distinct()
-    both = shifts(long.select("ikey", "term", "o", "o2").distinct(), "term", "o", "o", "o2").join(
-        second, ["ikey", "key", "shift", "o", "o2"]).select("ikey", "key", "shift")
-    found = written(
-        shifts(short.select("ikey", "term", "o").distinct(), "term", "o").union(both).distinct(), "shifts")
+    found = _near_cells(tests, index, window, slop, near) if slop else _exact_shifts(tests, index, window, common)
 
     named = found.join(tests.select("ikey", "item_id", F.col("item").cast("binary").alias("item")), "ikey")
-    per_text = named.groupBy("key").agg(F.collect_list(F.struct("item_id", "item", "shift")).alias("found"))
+    per_text = named.groupBy("key").agg(F.collect_list(F.struct("item_id", "item", "shift", "width")).alias("found"))
     keyed = _keyed(docs, id_col, text_col)
     checked = keyed.select("doc_id", "key", F.col("text").cast("binary")).join(per_text, "key").select(
         "doc_id", "key", "text", "found").mapInArrow(

@@ -66,6 +66,30 @@ def test_proximity(spark):
     assert (got[1].near_items, got[2].near_items, got[4].near_items) == ([], ["9"], [])
 
 
+def test_proximity_with_rare_and_absent_words(spark):
+    """Against brute force: the replaced word is the rarest of the item, or a word that no text has."""
+    item = "one two three four five six seven eight nine ten"
+    docs = [(1, "one two three four five six seven eight neuf ten"), (2, "one two really three four five six seven eight neuf ten"),
+            (3, "one two four five six seven eight ten"), (4, "two three four five six seven eight"), (5, "ten nine eight seven six five four three two one")]
+    docs += [(10 + i, "one two three four five six seven eight ten " * 3) for i in range(3)]
+    items = [(9, item), (8, "one two three absent1 five six seven eight absent2 ten"), (7, "one two absent3 absent1 five six seven eight absent2 ten"), (6, "ten one")]
+
+    def near(text):
+        d, found = words(text), []
+        for i, t in items:
+            w = words(t)
+            m = min(10, len(w))
+            ok = any(10 * sum(x in d[max(0, at + j - 3) : max(0, at + j + 4)] for j, x in enumerate(w[s : s + m], s)) >= 8 * m
+                     for at in range(-len(w) - 3, len(d) + 4) for s in range(len(w) - m + 1))
+            if ok and str(i) not in slow(text, items)[2]:
+                found.append(str(i))
+        return sorted(found)
+
+    for r in check(spark, docs, items):
+        assert r.near_items == near(dict(docs)[r.doc_id]), r
+    assert near(docs[0][1]) and "9" in near(docs[0][1]) and "8" in near(docs[0][1])
+
+
 def test_no_rows(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     no_items = spark.createDataFrame([], "item_id long, text string")
