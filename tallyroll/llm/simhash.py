@@ -110,7 +110,9 @@ def fingerprint_documents(
     half of the code points (after the last comes the first). Returns doc_id, n_chars,
     edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, class_id
     (least id of equal prints), n_within: for ids divisible by ``query_every``, how many other
-    rows have a print within ``radius``.
+    rows have a print within ``radius``, and near_classes, for the same ids: distance, class_id and
+    fingerprint of every print within ``radius``, the own one too, nearest first. Members of
+    a class are the rows with its fingerprint; `near_pairs` gives the list as a table.
 
     Null texts are empty; a text without terms has the print 0. Ties of id are
     ordered by hash of the text. Rows that repeat id and text count as one document
@@ -148,8 +150,9 @@ def fingerprint_documents(
     classes = known.groupBy("hi", "lo").agg(F.min("doc_id").alias("class_id"), F.sum("copies").alias("members"))
     classes = written(classes, "print-classes")
     asked = known.filter(F.pmod(F.col("doc_id").cast("long"), F.lit(query_every)) == 0).select("hi", "lo").distinct()
-    near = within_radius(classes, asked, radius).join(classes.select("hi", "lo", "members"), ["hi", "lo"]).groupBy(
-        "qhi", "qlo").agg(F.sum("members").alias("within")).withColumnsRenamed({"qhi": "hi", "qlo": "lo"})
+    met = F.struct("distance", "class_id", print_text(F.col("hi"), F.col("lo")).alias("fingerprint"))
+    near = within_radius(classes, asked, radius).join(classes, ["hi", "lo"]).groupBy("qhi", "qlo").agg(
+        F.sum("members").alias("within"), F.sort_array(F.collect_list(met)).alias("met")).withColumnsRenamed({"qhi": "hi", "qlo": "lo"})
     after = known.select(F.col("key").alias("next_key"), F.col("hi").alias("nhi"), F.col("lo").alias("nlo"))
     whole = known.join(after, "next_key").join(classes.drop("members"), ["hi", "lo"]).join(near, ["hi", "lo"], "left")
     own = (F.col("hi"), F.col("lo"))
@@ -159,4 +162,9 @@ def fingerprint_documents(
         print_text(F.col("ehi"), F.col("elo")).alias("edited_fingerprint"),
         likeness(hamming(own, (F.col("ehi"), F.col("elo")))).alias("near_edited"),
         likeness(hamming(own, (F.col("nhi"), F.col("nlo")))).alias("near_next"),
-        "class_id", F.when(asks, F.col("within") - 1).alias("n_within"))
+        "class_id", F.when(asks, F.col("within") - 1).alias("n_within"), F.when(asks, F.col("met")).alias("near_classes"))
+
+
+def near_pairs(found: DataFrame) -> DataFrame:
+    """(doc_id, distance, class_id, fingerprint): a row for each query of `fingerprint_documents` and print within its radius."""
+    return found.select("doc_id", F.inline("near_classes"))

@@ -86,3 +86,23 @@ def test_all_prints_within_radius(spark):
         got = simhash.within_radius(df, asked, radius).collect()
         want = {(q, p) for q in some for p in rows if (whole(*q) ^ whole(*p)).bit_count() <= radius}
         assert {((r.qhi, r.qlo), (r.hi, r.lo)) for r in got} == want and len(got) == len(want)
+
+
+def test_near_classes_name_the_near_copies(spark):
+    rnd = random.Random(7)
+    text = [f"word{rnd.randint(0, 9999)}" for _ in range(1500)]
+    changed = lambda n: " ".join(["x"] * n + text[n:])
+    rows = [(50, changed(0)), (51, changed(1)), (52, changed(1)), (53, changed(2)), (54, changed(40)), (None, changed(3)), (100, "other"), (101, "other"), (150, None)]
+    found = simhash.fingerprint_documents(spark.createDataFrame(rows, "doc_id long, text string")).cache()
+    got = found.collect()
+    value = lambda r: int(r.fingerprint, 16)
+    near = lambda r: {((value(r) ^ value(x)).bit_count(), x.class_id, x.fingerprint) for x in got if (value(r) ^ value(x)).bit_count() <= 6}
+    for r in got:
+        if r.doc_id is None or r.doc_id % 50:
+            assert r.near_classes is None
+        else:
+            assert set(map(tuple, r.near_classes)) == near(r) and len(r.near_classes) == len(near(r))
+    asked = [r for r in got if r.doc_id in (50, 100, 150)]
+    assert any(0 < m.distance <= 6 for m in asked[0].near_classes + asked[1].near_classes + asked[2].near_classes)
+    pairs = Counter((r.doc_id, r.distance, r.class_id, r.fingerprint) for r in simhash.near_pairs(found).collect())
+    assert pairs == Counter((r.doc_id, *m) for r in asked for m in r.near_classes)
