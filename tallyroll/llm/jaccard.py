@@ -151,6 +151,8 @@ def link_documents(
     non-null id (null if there is none). Very long texts are whole. An empty table
     gives no rows. Other columns are ignored.
     """
+    if not 51 <= percent <= 100:  # at 50 and less sets of two may share one key only, which the lists do not find
+        raise ValueError("percent must be 51 to 100")
     base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     id_type = base.schema["doc_id"].dataType.simpleString()
     firsts = base.select(F.col("text").cast("binary")).mapInArrow(_first_keys(shingle, percent), "key long")

@@ -91,3 +91,9 @@ def test_components(spark):
     chain = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (7, 7), (None, 3)] + [(200, 200 + i) for i in range(1, 30)]
     got = {r.node: r.label for r in components(spark.createDataFrame(chain, "u long, v long")).collect()}
     assert got == {i: 0 for i in range(41)} | {100: 100, 101: 100} | {200 + i: 200 for i in range(30)}
+
+
+def test_thresholds_that_would_lose_links_are_errors():
+    for percent in (0, 50, 101):
+        with pytest.raises(ValueError, match="percent"):
+            jaccard.link_documents(None, percent=percent)
