@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import contamination, jaccard, langid, packing, pii, quality, sharding, simhash, urls, warc
+from . import bpe, contamination, fim, jaccard, langid, merkle, packing, pii, quality, sharding, simhash, urls, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {"op5_url_templates": urls.SQL, "op7_decontamination": contamination.SQL,
-                       "op8_jaccard_join": jaccard.SQL}
+                       "op8_jaccard_join": jaccard.SQL, "op11_merkle_manifest": merkle.SQL, "op13_fill_in_middle": fim.SQL}
 
 
 def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -83,3 +84,36 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     ensemble = quality.fit(quality.training_sample(docs, table(spark, sf_dir, "labels")))
     scored = quality.score_quality(docs, ensemble)
     return scored.select("doc_id", (langid.fold("doc_id", 3) == 1).alias("held_out"), "score", "predicted")
+
+
+@query
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Proofs of all documents, checked against texts of which a third is shown in lower case."""
+    docs = table(spark, sf_dir, "documents")
+    fields = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")]
+    lower = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    told = merkle.leaf(*fields, F.col("text"))
+    shown = F.when(langid.fold("doc_id", 3) == 0, merkle.leaf(*fields, lower))
+    proofs = merkle.prove(docs.select("doc_id", "lang", told.alias("leaf"), shown.alias("shown")))
+    return proofs.select(
+        "doc_id", "leaf", "subroot", "root", F.sha2(merkle.siblings(F.col("proof")), 256).alias("proof_sha256"),
+        merkle.fold(F.coalesce("shown", "leaf"), F.col("proof")).alias("folded_root"),
+    ).withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+@query
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    encoded = bpe.encode(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN, space_starts=True)
+    return bpe.decode(encoded, ranks).select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = fim.restore(fim.transform(table(spark, sf_dir, "documents")))
+    return done.select(
+        "doc_id", "n", "form", F.col("prefix_units").alias("prefix_chars"), F.col("middle_units").alias("middle_chars"),
+        F.sha2("output", 256).alias("output_sha256"), F.sha2("restored", 256).alias("restored_sha256"))
