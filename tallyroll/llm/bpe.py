@@ -48,7 +48,7 @@ class Vocabulary:
         self._sizes = {rank: len(token) for token, rank in self.ids.items()}
         self._halves: dict[int, tuple[int, int]] = {}  # what the token's last merge joined; single bytes have none
         self._shorter: dict[int, int | None] = {}  # longest token that begins it
-        self._verdicts: dict[tuple[int, int], bool] = {}
+        self._verdicts: dict[int, bool] = {}
         self._matches = ahocorasick.Automaton()
         for rank in sorted(self.texts, key=lambda r: (len(self.texts[r]) > 1, r)):
             token = self.texts[rank]
@@ -106,7 +106,7 @@ class Vocabulary:
     def _judged(self, left: int, right: int) -> bool:
         if len(self._verdicts) >= _MOST_PAIRS:
             self._verdicts.clear()
-        verdict = self._verdicts[left, right] = self._apart(left, right)
+        verdict = self._verdicts[left << 32 | right] = self._apart(left, right)
         return verdict
 
     def encode_piece(self, piece: str) -> list[int]:
@@ -126,7 +126,7 @@ class Vocabulary:
             if not dead[end]:
                 fits = True
                 if at:
-                    fits = verdicts.get((last, token))
+                    fits = verdicts.get(last << 32 | token)
                     if fits is None:
                         fits = self._judged(last, token)
                 if fits:
@@ -168,10 +168,13 @@ class Splitter:
         yield from _BEFORE_SPACE.split(text[at:]) if self._space_starts else [text]
 
     def _chunk(self, chunk: str) -> array:
-        seen = chunk if chunk.isascii() else self._newer.sub(_UNASSIGNED, chunk)
         found, encode_piece = array("i"), self.vocabulary.encode_piece
-        for match in self._split.finditer(seen):
-            found.extend(encode_piece(chunk[match.start() : match.end()].encode().decode("latin-1")))
+        if chunk.isascii():
+            for match in self._split.finditer(chunk):
+                found.extend(encode_piece(match[0]))
+        else:
+            for match in self._split.finditer(self._newer.sub(_UNASSIGNED, chunk)):
+                found.extend(encode_piece(chunk[match.start() : match.end()].encode().decode("latin-1")))
         if len(chunk) <= _LONGEST_CHUNK:
             if len(self._known) >= _MOST_CHUNKS:
                 self._known.clear()
