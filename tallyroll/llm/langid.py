@@ -2,22 +2,23 @@
 
 from __future__ import annotations
 
-import re
 from bisect import bisect_right
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 UNDECIDED = "und"
-_WORD = re.compile(r"[^\W\d_]+")
+_WORD, _LETTER = regex.compile(r"[\p{L}\p{M}]+"), regex.compile(r"\p{L}")
 _BUCKETS = 1 << 16  # letter n-grams are counted in so many hashed cells
 _GRAMS = (1, 2, 3)
 _KEPT = 1 << 18  # words whose scores a worker remembers
+_CELLS = 1 << 21  # words times languages labelled at once, unless one text has more
 #: First code points of script ranges and their scripts (fixed values of the Unicode blocks).
 _RANGES = (
     (0x0000, "latin"), (0x0370, "greek"), (0x0400, "cyrillic"), (0x0530, "armenian"), (0x0590, "hebrew"),
@@ -39,8 +40,9 @@ def script_of(word: str) -> int:
 
 
 def words_of(text: str | None) -> list[str]:
-    """Lower-cased runs of letters of the whole text."""
-    return _WORD.findall(text.lower()) if text else []
+    """Lower-cased runs of letters and their marks of the whole text, each with at least one letter."""
+    found = _WORD.findall(text.lower()) if text else []
+    return [w for w in found if w[0].isalpha() or _LETTER.search(w)]
 
 
 def gram_cells(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -163,53 +165,92 @@ def viterbi(scores: np.ndarray, sizes: np.ndarray, penalty: float) -> np.ndarray
     return out
 
 
-def _labelled(model: Model, penalty: float, spans: bool) -> Callable:
-    """Arrow function: language, share and spans of each text of a batch."""
+class _Labeller:
+    """Language numbers of all words of texts; remembers words, and works on a bounded number of them at once."""
+
+    def __init__(self, model: Model, penalty: float) -> None:
+        self._model, self._penalty = model, penalty
+        self._most = _CELLS // max(1, len(model.languages))
+        self._forget()
+
+    def _forget(self) -> None:
+        self._place: dict[str, int] = {}
+        self._known = np.empty((0, len(self._model.languages)), np.float32)
 
-    def texts_labelled(batch: pa.RecordBatch, place: dict[str, int], known: np.ndarray):
-        lists, letters = [], []
-        for text in batch.column(1):
-            words = words_of(text.as_py())
-            letters.append(len(words))
+    def _labelled(self, lists: list[np.ndarray]) -> list[np.ndarray]:
+        if not self._model.languages:
+            return lists
+        new = list(self._place)[len(self._known):]
+        if new:
+            parts = (self._model.word_scores(new[i : i + 20_000]) for i in range(0, len(new), 20_000))
+            self._known = np.concatenate([self._known, *parts])
+        sizes = np.array([len(own) for own in lists], np.int64)
+        flat = viterbi(self._known[np.concatenate(lists)], sizes, self._penalty)
+        return np.split(flat, np.cumsum(sizes)[:-1])
+
+    def __call__(self, texts: pa.Array) -> Iterator[list[np.ndarray]]:
+        """Labels of each text, in runs of texts."""
+        lists, held = [], 0
+        for text in texts:
+            words = words_of(text.as_py()) if self._model.languages else []
+            if lists and held + len(words) > self._most:
+                yield self._labelled(lists)
+                lists, held = [], 0
+                if len(self._place) > _KEPT:
+                    self._forget()
+            place = self._place
             for w in set(words).difference(place):
                 place[w] = len(place)
             lists.append(np.fromiter(map(place.__getitem__, words), np.int32, len(words)))
-        new = list(place)[len(known):]
-        if new:
-            known = np.concatenate([known, *(model.word_scores(new[i : i + 20_000]) for i in range(0, len(new), 20_000))])
-        sizes = np.array(letters, np.int64)
-        labels = viterbi(known[np.concatenate([*lists, np.empty(0, np.int32)])], sizes, penalty)
-        return sizes, labels, known
+            held += len(words)
+        if lists:
+            yield self._labelled(lists)
+        if len(self._place) > _KEPT:
+            self._forget()
+
+
+def _main_language(own: np.ndarray, languages: list[str]) -> tuple[str, float]:
+    if not len(own):
+        return UNDECIDED, 0.0
+    counts = np.bincount(own, minlength=len(languages))
+    return languages[counts.argmax()], counts.max() / len(own)
+
+
+def _labelled(model: Model, penalty: float, spans: bool) -> Callable:
+    """Arrow function: language, share and spans of each text of a batch."""
+
+    def spans_of(own: np.ndarray) -> list[dict]:
+        if not spans or not len(own):
+            return []
+        edges = [0, *(np.flatnonzero(np.diff(own)) + 1), len(own)]
+        return [{"lang": model.languages[own[a]], "first": int(a), "words": int(b - a)}
+                for a, b in zip(edges, edges[1:], strict=False)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place: dict[str, int] = {}
-        known = np.empty((0, len(model.languages)), np.float32)
+        labels = _Labeller(model, penalty)
         for batch in batches:
-            if len(place) > _KEPT:
-                place, known = {}, known[:0]
-            if not model.languages:
-                n = batch.num_rows
+            at = 0
+            for found in labels(batch.column(1)):
+                best = [_main_language(own, model.languages) for own in found]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array([UNDECIDED] * n), pa.array([0.0] * n), pa.array([[]] * n, _SPANS)],
+                    [batch.column(0).slice(at, len(found)), pa.array([lang for lang, _ in best], pa.string()),
+                     pa.array([share for _, share in best], pa.float64()), pa.array(map(spans_of, found), _SPANS)],
                     ["doc_id", "lang_pred", "score", "spans"])
-                continue
-            sizes, labels, known = texts_labelled(batch, place, known)
-            predicted, share, found, at = [], [], [], 0
-            for size in sizes:
-                own = labels[at : at + size]
-                at += size
-                if not size:
-                    predicted.append(UNDECIDED), share.append(0.0), found.append([])
-                    continue
-                counts = np.bincount(own, minlength=len(model.languages))
-                predicted.append(model.languages[counts.argmax()]), share.append(counts.max() / size)
-                cuts = np.flatnonzero(np.diff(own)) + 1 if spans else []
-                edges = [0, *cuts, size]
-                found.append([{"lang": model.languages[own[a]], "first": int(a), "words": int(b - a)}
-                              for a, b in zip(edges, edges[1:], strict=False)] if spans else [])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(predicted, pa.string()), pa.array(share, pa.float64()), pa.array(found, _SPANS)],
-                ["doc_id", "lang_pred", "score", "spans"])
+                at += len(found)
+
+    return run
+
+
+def _in_a_language(model: Model, penalty: float, least_share: float, text_at: int) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        labels = _Labeller(model, penalty)
+        for batch in batches:
+            at = 0
+            for found in labels(batch.column(text_at)):
+                best = [_main_language(own, model.languages) for own in found]
+                keep = [lang != UNDECIDED and share >= least_share for lang, share in best]
+                yield batch.slice(at, len(found)).filter(pa.array(keep))
+                at += len(found)
 
     return run
 
@@ -219,22 +260,21 @@ _SPANS = pa.list_(pa.struct([("lang", pa.string()), ("first", pa.int32()), ("wor
 
 def label_languages(
     docs: DataFrame, model: Model, *, penalty: float = 8.0, spans: bool = True, id_col: str = "doc_id",
-    text_col: str = "text", keep_row: bool = False,
+    text_col: str = "text",
 ) -> DataFrame:
     """doc_id, lang_pred, score and language spans (by letter word) of every whole text.
 
-    With ``keep_row``, ``doc_id`` holds the whole row as a struct.
-
-    Each word scores every language by its letter n-grams; scripts narrow the
-    candidates; Viterbi with ``penalty`` per change labels the words. The language
-    of most words is predicted (ties: first by name), ``score`` is its share of words.
+    Each word (a run of letters and marks with at least one letter) scores every
+    language by its letter n-grams; scripts narrow the candidates; Viterbi with
+    ``penalty`` per change labels the words. The language of most words is predicted
+    (ties: first by name), ``score`` is its share of words.
 
     Null and empty texts and texts without letters are ``und`` with score 0 and no
     spans, as is everything under a model without languages. Row by row: repeated
     rows and ids are no matter, other columns are ignored, an empty table gives no rows.
+    Texts are labelled some hundred thousand words at a time, whatever a batch holds.
     """
-    first = F.struct(*docs.columns) if keep_row else F.col(id_col)
-    rows = docs.select(first.alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     schema = T.StructType([
         rows.schema["doc_id"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()),
         T.StructField("spans", T.ArrayType(T.StructType([
@@ -243,6 +283,18 @@ def label_languages(
     return rows.mapInArrow(_labelled(model, penalty, spans), schema)
 
 
+def keep_known(
+    docs: DataFrame, model: Model, least_share: float, *, penalty: float = 8.0, text_col: str = "text",
+) -> DataFrame:
+    """The rows of ``docs``, all columns as they are, whose text has a language for ``least_share`` of its words.
+
+    Rows that ``label_languages`` calls ``und`` go, so null, empty and letterless texts
+    do, and every row under a model without languages. Repeated rows are judged one by
+    one, an empty table gives no rows, column names do not matter.
+    """
+    return docs.mapInArrow(_in_a_language(model, penalty, least_share, docs.columns.index(text_col)), docs.schema)
+
+
 def fold(id_col: str, folds: int) -> Column:
     """crc32 of the id as text, modulo ``folds``; a null id counts as empty text."""
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % folds

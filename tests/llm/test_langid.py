@@ -62,9 +62,12 @@ def test_edge_rows(spark, model):
     assert [r.doc_id for r in got] == [i for i, _ in rows]
     assert [(r.lang_pred, r.score, r.spans) for r in got[:3]] == [("und", 0.0, [])] * 3
     assert got[4].lang_pred == "en" and got[4].score > 0.99 and got[5].lang_pred in model.languages and got[5] == got[6]
-    kept = langid.label_languages(docs, model, keep_row=True).select("doc_id.*")
-    assert kept.columns == docs.columns and sorted(map(repr, kept.collect())) == sorted(map(repr, docs.collect()))
+    kept = langid.keep_known(docs, model, 0.9)
+    want = [r for r, g in zip(docs.collect(), got) if g.lang_pred != "und" and g.score >= 0.9]
+    assert kept.columns == docs.columns and sorted(map(repr, kept.collect())) == sorted(map(repr, want)) and want
+    assert langid.keep_known(docs.limit(0), model, 0.9).collect() == []
     assert langid.label_languages(docs.limit(0), model).collect() == []
+    assert langid.keep_known(docs, langid.Model([], model.cells[:, :0], model.scripts[:, :0]), 0).collect() == []
     none = langid.train(spark.createDataFrame([(None, "en"), ("x", None)], "text string, lang string"))
     assert {r.lang_pred for r in langid.label_languages(docs, none).collect()} == {"und"}
 
@@ -75,3 +78,22 @@ def test_training_uses_no_held_out_row(spark):
     used = {r.text for r in langid.training_rows(docs).collect()}
     assert used == {f"t{i}" for i in range(200) if zlib.crc32(str(i).encode()) % 5}
     assert 20 < langid.training_rows(docs, most_rows=100).count() < 160
+
+
+def test_letters_and_marks(spark, model):
+    assert langid.words_of("हिन्दी है, café cafe\u0301") == ["हिन्दी", "है", "café", "cafe\u0301"]
+    assert langid.words_of("½ ② Ⅷ ² \u0301 \u0301\u0302 1a_b") == ["a", "b"]
+    docs = spark.createDataFrame([(1, "½ ② Ⅷ"), (2, "\u0301 12")], "doc_id long, text string")
+    assert {(r.lang_pred, r.score) for r in langid.label_languages(docs, model).collect()} == {("und", 0.0)}
+
+
+def test_slices_change_nothing(model, monkeypatch):
+    import pyarrow as pa
+
+    rnd = random.Random(4)
+    texts = pa.array([" ".join(rnd.choice(["the", "and", "der", "und", "λόγος", "el", "que"]) for _ in range(rnd.randint(0, 40))) for _ in range(60)] + [None, ""])
+    whole = [own.tolist() for run in langid._Labeller(model, 2.0)(texts) for own in run]
+    monkeypatch.setattr(langid, "_CELLS", 25 * len(model.languages))
+    monkeypatch.setattr(langid, "_KEPT", 3)
+    sliced = list(langid._Labeller(model, 2.0)(texts))
+    assert len(sliced) > 20 and [own.tolist() for run in sliced for own in run] == whole

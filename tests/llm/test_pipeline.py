@@ -13,13 +13,15 @@ COLUMNS = {
     "op2": "doc_id held_out lang_pred score", "op3": "doc_id n_chars edited_sha256 fingerprint edited_fingerprint near_edited near_next",
     "op5": "page_id host path rule verdict", "op6": "doc_id size text_crc32 law shard slot grown_shard",
     "op7": "doc_id n_words n_hit n_items items_sha256 contaminated", "op8": "doc_id n_shingles component_id",
-    "op10": "doc_id held_out score predicted",
+    "op10": "doc_id held_out score predicted", "op11": "doc_id leaf subroot root proof_sha256 folded_root verified",
+    "op12": "doc_id n_tokens ids_sha256 decoded_sha256",
+    "op13": "doc_id n form prefix_chars middle_chars output_sha256 restored_sha256",
 }
 
 
 def test_registered():
     names = set(entry.queries())
-    assert {f"op{n}" for n in range(1, 11)} == {q.split("_")[0] for q in queries.QUERIES} and "pipeline" in names
+    assert {f"op{n}" for n in range(1, 14)} == {q.split("_")[0] for q in queries.QUERIES} and "pipeline" in names
     assert [n for n, _ in corpus_pipeline.STAGES] and len(corpus_pipeline.STAGES) == 5
 
 
