@@ -19,9 +19,7 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Texts without letters, or without a language of at least two fifths of the words, go."""
     ship_package(spark)
     model = langid.train(langid.training_rows(docs))
-    found = langid.label_languages(docs, model, spans=False, keep_row=True)
-    known = (F.col("lang_pred") != langid.UNDECIDED) & (F.col("score") >= LEAST_SHARE)
-    return found.filter(known).select("doc_id.*")
+    return langid.keep_known(docs, model, LEAST_SHARE)
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
