@@ -14,8 +14,10 @@ from pyspark.sql import functions as F
 from ..session import written
 from .components import components
 from .shingles import WordHasher, shingle_set
+from .tables import unused
 
 _WORDS = 8  # longs in a set's parity bitmap
+_WIDE = 256  # sets with more entries also have a bitmap of at least four bits an entry
 _BITS = [f"b{i}" for i in range(_WORDS)]
 _LIST_BOUND = 64  # lists longer than this are moved to the end of the order
 _MOST_HEAVY = 1 << 17  # at most so many keys are moved
@@ -27,20 +29,25 @@ def overlap_needed(n: int, percent: int) -> int:
     return -(-percent * n // 100)
 
 
+def _parities(s: np.ndarray, longs: int) -> np.ndarray:
+    """One bit for each cell of ``64 * longs``: whether an odd number of entries falls into it."""
+    return np.packbits(np.bincount((s & np.uint64(64 * longs - 1)).astype(np.int64), minlength=64 * longs) & 1)
+
+
 def _sketch(size: int, percent: int, heavy: np.ndarray) -> Callable:
     """Arrow function: set id, set size, first keys in the order and parity bitmap of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WordHasher()
         for batch in batches:
-            nodes, sizes, keys, bits = [], [], [], []
+            nodes, sizes, keys, bits, wide = [], [], [], [], []
             for text in batch.column(2):
                 s = shingle_set(text.as_py(), size, hasher)
                 n = len(s)
                 sizes.append(n)
                 nodes.append(xxhash.xxh64_intdigest(s.tobytes()) if n else None)
-                bits.append(np.packbits(np.bincount((s & np.uint64(64 * _WORDS - 1)).astype(np.int64),
-                                                    minlength=64 * _WORDS) & 1))
+                bits.append(_parities(s, _WORDS))
+                wide.append(_parities(s, 1 << (n // 16 - 1).bit_length()).view(np.int64) if n > _WIDE else None)
                 if n and len(heavy):
                     late = heavy[np.minimum(np.searchsorted(heavy, s), len(heavy) - 1)] == s
                     if late.any():
@@ -53,8 +60,8 @@ def _sketch(size: int, percent: int, heavy: np.ndarray) -> Callable:
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(ids, mask=np.array([v is None for v in nodes], bool)),
                  pa.array(sizes, pa.int32()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)),
-                 *[pa.array(np.ascontiguousarray(rows[:, i])) for i in range(_WORDS)]],
-                ["doc_id", "th", "node", "n", "keys", *_BITS])
+                 *[pa.array(np.ascontiguousarray(rows[:, i])) for i in range(_WORDS)], pa.array(wide, pa.list_(pa.int64()))],
+                ["doc_id", "th", "node", "n", "keys", *_BITS, "wide"])
 
     return run
 
@@ -103,6 +110,20 @@ def _verified(size: int, percent: int) -> Callable:
     return run
 
 
+def _wide_may_link(percent: int) -> Column:
+    """As ``_may_link``, by the wide bitmaps; the longer one is folded, as linked sizes differ by less than a half."""
+    a, b = F.col("wa"), F.col("wb")
+
+    def folded(x: Column, to: Column) -> Column:
+        half = F.zip_with(F.slice(x, F.lit(1), to), F.slice(x, to + 1, to), lambda u, v: u.bitwiseXOR(v))
+        return F.when(F.size(x) > to, half).otherwise(x)
+
+    short = F.least(F.size(a), F.size(b))
+    odd = F.zip_with(folded(a, short), folded(b, short), lambda u, v: F.bit_count(u.bitwiseXOR(v)))
+    total = F.aggregate(odd, F.lit(0), lambda x, y: x + y)
+    return a.isNull() | b.isNull() | (total <= _most_apart(percent, F.col("na"), F.col("nb")))
+
+
 def _apart(a: str, b: str) -> Column:
     """Least number of elements in one set only: every bit that differs is one."""
     return reduce(lambda x, y: x + y, [F.bit_count(F.col(f"{a}.{c}").bitwiseXOR(F.col(f"{b}.{c}"))) for c in _BITS])
@@ -136,15 +157,17 @@ def link_documents(
     2. *Copies.* Rows of equal sets are one node (64-bit hash of the set) from here on.
     3. *Stars.* In each list of first and second keys every node is checked against
        the one of lowest id. This joins most of a group of near copies with one
-       check per node, and pairs inside a component are not looked at again.
+       check per node; what is joined is one label from here on, and pairs inside a
+       label are not looked at again.
     4. *Large sets* scan inverted lists: a set needs its first n - t + 1 keys listed
        (t: least overlap) to meet each partner. A pair is a candidate where its first
        common key can be (no equal predecessor), positions, sizes and parity bitmaps allow.
        *Small sets* among each other meet in the two-key subsets of their first
        n - t + 2 keys instead. The boundary is the largest size whose subsets cost less
        than its lists, by the measured mean list length.
-    5. Candidates are checked on whole texts: first the likeliest of each pair of components, then all that
-       still lie between two components. Components of all links follow.
+    5. Candidates that a wider bitmap allows, too, are checked on whole texts: first the likeliest of each
+       pair of labels, then all that still lie between two labels. Each step's labels are contracted
+       by the components of the links found, so those joins have a row per label, not per link.
 
     Null and empty texts and texts without words have 0 shingles and are linked
     with nothing. Repeated rows link with each other; a component's id is its least
@@ -162,34 +185,46 @@ def link_documents(
     heavy = np.sort(np.array([r.key for r in counts.filter(F.col("count") > bound).select("key").collect()],
                              np.int64).view(np.uint64))
 
-    ddl = f"doc_id {id_type}, th long, node long, n int, keys array<long>, " + ", ".join(f"{c} long" for c in _BITS)
+    ddl = (f"doc_id {id_type}, th long, node long, n int, keys array<long>, " + ", ".join(f"{c} long" for c in _BITS)
+           + ", wide array<long>")
     sketch = written(
         base.select("doc_id", F.xxhash64("text").alias("th"), F.col("text").cast("binary"))
         .mapInArrow(_sketch(shingle, percent, heavy), ddl)
         .withColumn("row", F.monotonically_increasing_id()),
         "sketch")
-    first_rows = sketch.filter("node is not null").groupBy("node").agg(F.min("row").alias("row")).select("row")
-    nodes = written(sketch.join(first_rows, "row", "left_semi"), "nodes")
+    nodes = written(_first_rows(sketch.filter("node is not null")), "nodes")
     texts = base.withColumn("th", F.xxhash64("text"))
+    wides = nodes.select("node", F.col("n").alias("size"), "wide")
+
+    def tight(pairs: DataFrame) -> DataFrame:
+        """Pairs that the wide bitmaps allow, too."""
+        a, b = (wides.select(F.col("node").alias(e), F.col("size").alias(f"n{e}"), F.col("wide").alias(f"w{e}")) for e in "ab")
+        return pairs.join(a, "a").join(b, "b").filter(_wide_may_link(percent)).select(*pairs.columns)
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        pairs = written(pairs.select("a", "b").distinct(), "pairs")
+    def fetched(pairs: DataFrame) -> DataFrame:
+        """``node, text`` of both ends of the pairs: one text a node, however often its row is repeated."""
         ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
         named = nodes.select("node", "doc_id", "th").join(ends, "node", "left_semi").select(
             "node", F.col("doc_id").alias("_id"), "th")
         found = texts.join(named, (F.col("doc_id").eqNullSafe(F.col("_id"))) & (texts.th == named.th)).select(
-            "node", F.col("text").cast("binary").alias("text"))
-        sides = pairs.join(found.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a").join(
-            found.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
+            "node", F.col("text").cast("binary").alias("text"), F.monotonically_increasing_id().alias("row"))
+        return _first_rows(written(found, "ends")).select("node", "text")
+
+    def verify(pairs: DataFrame, ends: DataFrame) -> DataFrame:
+        sides = pairs.select("a", "b").join(ends.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a").join(
+            ends.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
         return written(sides.mapInArrow(_verified(shingle, percent), "u long, v long"), "links")
 
     narrow = nodes.select("node", "doc_id", "n", *_BITS, F.element_at("keys", 1).alias("k1"),
                           F.try_element_at("keys", F.lit(2)).alias("k2"))
     stars = [_star_pairs(narrow, k, percent) for k in ("k1", "k2")]
-    links = verify(stars[0].union(stars[1]))
-    starred = links.groupBy(F.col("v").alias("node")).agg(F.min("u").alias("label"))  # u is the centre
-    about = nodes.select("row", "node", "n", *_BITS).join(starred, "node", "left").withColumn(
-        "label", F.coalesce("label", "node"))
+    pairs = written(tight(stars[0].union(stars[1]).distinct()), "pairs")
+    links = verify(pairs, fetched(pairs))
+    first = links.groupBy(F.col("v").alias("node")).agg(F.min("u").alias("label"))  # u is the centre
+    starred = nodes.select("node").join(first, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    labels = _contracted(written(starred, "labels"), links)
+
+    about = nodes.select("row", "node", "n", *_BITS).join(labels, "node")
     listed = nodes.select(
         "row", F.posexplode(F.slice("keys", 1, F.size("keys") - (F.col("n") > 1).cast("int"))).alias("i", "key"), "keys",
     ).withColumn("prev", F.when(F.col("i") > 0, F.get("keys", F.col("i") - 1))).drop("keys")
@@ -214,21 +249,20 @@ def link_documents(
     met = a.join(
         b, (F.col("a.key") == F.col("b.key")) & (F.col("a.node") < F.col("b.node"))
         & (F.col("a.label") != F.col("b.label")) & _may_link(percent, "a", "b")).select(*chosen)
-    candidates = written(scanned.union(met).distinct().withColumn("pair", F.monotonically_increasing_id()), "candidates")
-    # of all pairs between two components the likeliest first; what it joins needs no other check
-    likeliest = candidates.groupBy(F.least("la", "lb"), F.greatest("la", "lb")).agg(
-        F.min_by("pair", "apart").alias("pair")).select("pair")
-    links = links.union(verify(candidates.join(likeliest, "pair", "left_semi")))
-    now = written(components(links, rounds=1), "labels")
-    rest = candidates.join(likeliest, "pair", "left_anti")
+    candidates = written(tight(scanned.union(met).distinct()).withColumn("pair", F.monotonically_increasing_id()), "candidates")
+    ends = fetched(candidates)
+    # of all pairs between two labels the likeliest first; what it joins needs no other check
+    likeliest = written(candidates.groupBy(F.least("la", "lb"), F.greatest("la", "lb")).agg(
+        F.min_by("pair", "apart").alias("pair")).select("pair"), "likeliest")
+    labels = _contracted(labels, verify(candidates.join(likeliest, "pair", "left_semi"), ends))
+    rest = candidates.join(likeliest, "pair", "left_anti").select("a", "b")
     for end in ("a", "b"):
-        rest = rest.join(now.select(F.col("node").alias(end), F.col("label").alias(f"now_{end}")), end, "left")
-    links = links.union(verify(rest.filter("coalesce(now_a, a) <> coalesce(now_b, b)")))
-    labels = written(components(links), "labels")
+        rest = rest.join(labels.select(F.col("node").alias(end), F.col("label").alias(f"l{end}")), end)
+    labels = _contracted(labels, verify(rest.filter("la <> lb"), ends))
 
     lowest = sketch.filter("node is not null").groupBy("node").agg(
         F.min("doc_id").alias("low"), F.min("row").alias("any_row"), F.min_by("row", "doc_id").alias("low_row"))
-    labelled = lowest.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    labelled = lowest.join(labels, "node")
     of_label = labelled.groupBy("label").agg(
         F.min("low").alias("component_id"), F.coalesce(F.min_by("low_row", "low"), F.min("any_row")).alias("keeper"))
     of_node = labelled.join(of_label, "label").select("node", "component_id", "keeper")
@@ -246,11 +280,28 @@ def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     of those without shingles.
     """
     found = link_documents(docs, id_col=id_col, text_col=text_col, **how)
-    rows = found.groupBy("doc_id", "th").agg(F.max("keep").alias("keep"), F.count("*").alias("_copies"))
-    stay = written(rows.filter("keep").select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), "_copies"), "kept")
-    kept = docs.join(stay, F.col(id_col).eqNullSafe(F.col("_id")) & (F.xxhash64(text_col) == F.col("_th")))
-    repeated = kept.filter("_copies > 1").dropDuplicates([id_col, "_th"])
-    return kept.filter("_copies = 1").union(repeated).select(*docs.columns)
+    key, th, copies = (unused(docs.columns, c) for c in ("id", "th", "copies"))
+    rows = found.groupBy(F.col("doc_id").alias(key), F.col("th").alias(th)).agg(
+        F.max("keep").alias("keep"), F.count("*").alias(copies))
+    stay = written(rows.filter("keep").drop("keep"), "kept")
+    kept = docs.join(stay, F.col(id_col).eqNullSafe(F.col(key)) & (F.xxhash64(text_col) == F.col(th)))
+    once = kept.filter(F.col(copies) == 1)
+    return once.union(kept.filter(F.col(copies) > 1).dropDuplicates([id_col, th])).select(*docs.columns)
+
+
+def _first_rows(table: DataFrame) -> DataFrame:
+    """One row of each node, of a written table with a ``row`` number: chosen by narrow columns only."""
+    return table.join(table.groupBy("node").agg(F.min("row").alias("row")).select("row"), "row", "left_semi")
+
+
+def _contracted(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``node, label`` after the links: labels that are linked become the least of them."""
+    ends = links
+    for end in ("u", "v"):
+        ends = ends.join(labels.select(F.col("node").alias(end), F.col("label").alias(f"l{end}")), end)
+    between = written(ends.filter("lu <> lv").select(F.col("lu").alias("u"), F.col("lv").alias("v")).distinct(), "label-pairs")
+    joined = components(between).select(F.col("node").alias("label"), F.col("label").alias("to"))
+    return written(labels.join(joined, "label", "left").select("node", F.coalesce("to", "label").alias("label")), "labels")
 
 
 def _star_pairs(narrow: DataFrame, key: str, percent: int) -> DataFrame:

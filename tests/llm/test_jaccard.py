@@ -34,6 +34,23 @@ def slow(rows, k, percent):
     return [(d, len(s), least.get(root(i)) if s else d) for i, ((d, _), s) in enumerate(zip(rows, sets))]
 
 
+def near_twin(v):
+    """Rows without id, each many times."""
+    return " ".join(f"t{i}" for i in range(40)) + " end" * v
+
+
+def long_texts(rnd):
+    """Large sets that share a passage: some linked, some close to the threshold on either side."""
+    common = [f"p{i}" for i in range(300)]
+    for g in range(4):
+        base = common + [f"g{g}x{rnd.randrange(10**6)}" for _ in range(900 + 200 * g)]
+        for k in range(4):
+            t = list(base)
+            for i in rnd.sample(range(len(t)), [0, 5, 18 + 5 * g, 40][k]):
+                t[i] = f"n{rnd.randrange(10**6)}"
+            yield 6000 + 10 * g + k, " ".join(t)
+
+
 def corpus(seed):
     rnd = random.Random(seed)
     words = [f"w{i}" for i in range(300)]
@@ -56,14 +73,14 @@ def corpus(seed):
         rows.append((3000 + i, " ".join(t)))
     rows += [(4000 + i, "Same\ttext  in\nmany rows") for i in range(40)]
     rows += [(5000, None), (5001, ""), (5002, " \n\t"), (5003, "one"), (5004, "ONE"), (5005, "é x"), (5005, "é x"), (None, "one"), (None, None),
-             (5006, "w1 w2 w3 " * 4000), (5006, "another text of the same id here")]
+             *[(None, near_twin(v)) for v in range(2) for _ in range(60)], *long_texts(rnd), (5006, "w1 w2 w3 " * 4000), (5006, "another text of the same id here")]
     return rows
 
 
 @pytest.mark.parametrize("k, percent", [(4, 85), (5, 80)])
 def test_against_brute_force(spark, k, percent):
     rows = corpus(k)
-    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"node": F.lit("clash"), "keys": F.lit(1), "n": F.lit(2), "row": F.lit(3)})
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"node": F.lit("clash"), "keys": F.lit(1), "n": F.lit(2), "row": F.lit(3), "_id": F.lit(4), "_TH": F.lit(5), "th": F.lit(6), "id": F.lit(7), "copies": F.lit(8)})
     got = jaccard.link_documents(docs, shingle=k, percent=percent)
     want = slow(rows, k, percent)
     as_rows = sorted(map(repr, ((r.doc_id, r.n_shingles, r.component_id) for r in got.collect())))
