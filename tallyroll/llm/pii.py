@@ -205,7 +205,7 @@ def assign(entities: DataFrame, key: str, most_attempts: int = 64) -> DataFrame:
 def pseudonymise(docs: DataFrame, key: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Every row with its text's entities replaced, and ``pii_types``, the types in order of place.
 
-    All columns of ``docs`` stay. An entity (same type and canonical form) has one
+    All columns of ``docs`` stay, but for an earlier ``pii_types``. An entity (same type and canonical form) has one
     surrogate in the whole corpus under one key; different entities have different
     ones. Numbers keep separators, country code and (cards) a valid checksum, keys
     their prefix, addresses their top-level domain and case, names their script and
@@ -219,7 +219,7 @@ def pseudonymise(docs: DataFrame, key: str, *, id_col: str = "doc_id", text_col:
     no rows. A frequent entity is one row of the surrogate table; its mentions are the
     skewed side of one join, which adaptive execution splits.
     """
-    text = F.col(text_col)
+    docs, text = docs.drop("pii_types"), F.col(text_col)
     names = docs.columns
     has = F.coalesce(may_have(text) & text.rlike(ANY), F.lit(False))
     ids = [F.xxhash64(id_col, text_col).alias("_pii_a"), F.hash(id_col, text_col).alias("_pii_b")]
