@@ -19,6 +19,7 @@ from .tables import unused
 _WORDS = 8  # longs in a set's parity bitmap
 _WIDE = 256  # sets with more entries also have a bitmap of at least four bits an entry
 _BITS = [f"b{i}" for i in range(_WORDS)]
+_STAR_KEYS = 6  # lists of each node in the second round of stars
 _LIST_BOUND = 64  # lists longer than this are moved to the end of the order
 _MOST_HEAVY = 1 << 17  # at most so many keys are moved
 _SCAN_SHARE = 50  # list entries that can be scanned for the cost of one shuffled row
@@ -158,7 +159,8 @@ def link_documents(
     3. *Stars.* In each list of first and second keys every node is checked against
        the one of lowest id. This joins most of a group of near copies with one
        check per node; what is joined is one label from here on, and pairs inside a
-       label are not looked at again.
+       label are not looked at again. A second round checks what is left against members
+       of the largest label of each of its first lists.
     4. *Large sets* scan inverted lists: a set needs its first n - t + 1 keys listed
        (t: least overlap) to meet each partner. A pair is a candidate where its first
        common key can be (no equal predecessor), positions, sizes and parity bitmaps allow.
@@ -197,9 +199,10 @@ def link_documents(
     wides = nodes.select("node", F.col("n").alias("size"), "wide")
 
     def tight(pairs: DataFrame) -> DataFrame:
-        """Pairs that the wide bitmaps allow, too."""
+        """Written pairs that the wide bitmaps allow, too; pairs with a small set have none."""
         a, b = (wides.select(F.col("node").alias(e), F.col("size").alias(f"n{e}"), F.col("wide").alias(f"w{e}")) for e in "ab")
-        return pairs.join(a, "a").join(b, "b").filter(_wide_may_link(percent)).select(*pairs.columns)
+        large = pairs.filter(F.col("least_n") > _WIDE).join(a, "a").join(b, "b").filter(_wide_may_link(percent))
+        return pairs.filter(F.col("least_n") <= _WIDE).union(large.select(*pairs.columns))
 
     def fetched(pairs: DataFrame) -> DataFrame:
         """``node, text`` of both ends of the pairs: one text a node, however often its row is repeated."""
@@ -218,11 +221,13 @@ def link_documents(
     narrow = nodes.select("node", "doc_id", "n", *_BITS, F.element_at("keys", 1).alias("k1"),
                           F.try_element_at("keys", F.lit(2)).alias("k2"))
     stars = [_star_pairs(narrow, k, percent) for k in ("k1", "k2")]
-    pairs = written(tight(stars[0].union(stars[1]).distinct()), "pairs")
+    pairs = written(tight(written(stars[0].union(stars[1]).distinct(), "stars")), "pairs")
     links = verify(pairs, fetched(pairs))
     first = links.groupBy(F.col("v").alias("node")).agg(F.min("u").alias("label"))  # u is the centre
     starred = nodes.select("node").join(first, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    labels = _contracted(written(starred, "labels"), links)
+    labels, _ = _contracted(written(starred, "labels"), links)
+    pairs = written(tight(written(_second_stars(nodes, labels, percent), "stars")), "pairs")
+    labels, _ = _contracted(labels, verify(pairs, fetched(pairs)))
 
     about = nodes.select("row", "node", "n", *_BITS).join(labels, "node")
     listed = nodes.select(
@@ -234,7 +239,7 @@ def link_documents(
     boundary = _boundary(scans / entries, percent)
     a, b = lists.alias("a"), lists.alias("b")
     chosen = [F.col("a.node").alias("a"), F.col("b.node").alias("b"), F.col("a.label").alias("la"),
-              F.col("b.label").alias("lb"), _apart("a", "b").alias("apart")]
+              F.col("b.label").alias("lb"), F.least("a.n", "b.n").alias("least_n"), _apart("a", "b").alias("apart")]
     scanned = a.join(
         b, (F.col("a.key") == F.col("b.key")) & (F.col("a.node") < F.col("b.node"))
         & (F.col("a.label") != F.col("b.label")) & (F.greatest("a.n", "b.n") > boundary)
@@ -249,16 +254,17 @@ def link_documents(
     met = a.join(
         b, (F.col("a.key") == F.col("b.key")) & (F.col("a.node") < F.col("b.node"))
         & (F.col("a.label") != F.col("b.label")) & _may_link(percent, "a", "b")).select(*chosen)
-    candidates = written(tight(scanned.union(met).distinct()).withColumn("pair", F.monotonically_increasing_id()), "candidates")
+    met = written(scanned.union(met).distinct(), "met")
+    candidates = written(tight(met).withColumn("pair", F.monotonically_increasing_id()), "candidates")
     ends = fetched(candidates)
     # of all pairs between two labels the likeliest first; what it joins needs no other check
     likeliest = written(candidates.groupBy(F.least("la", "lb"), F.greatest("la", "lb")).agg(
         F.min_by("pair", "apart").alias("pair")).select("pair"), "likeliest")
-    labels = _contracted(labels, verify(candidates.join(likeliest, "pair", "left_semi"), ends))
-    rest = candidates.join(likeliest, "pair", "left_anti").select("a", "b")
-    for end in ("a", "b"):
-        rest = rest.join(labels.select(F.col("node").alias(end), F.col("label").alias(f"l{end}")), end)
-    labels = _contracted(labels, verify(rest.filter("la <> lb"), ends))
+    labels, moved = _contracted(labels, verify(candidates.join(likeliest, "pair", "left_semi"), ends))
+    rest = candidates.join(likeliest, "pair", "left_anti")
+    for end in ("la", "lb"):
+        rest = rest.join(moved.select(F.col("label").alias(end), F.col("to").alias(f"to_{end}")), end, "left")
+    labels, _ = _contracted(labels, verify(rest.filter("coalesce(to_la, la) <> coalesce(to_lb, lb)"), ends))
 
     lowest = sketch.filter("node is not null").groupBy("node").agg(
         F.min("doc_id").alias("low"), F.min("row").alias("any_row"), F.min_by("row", "doc_id").alias("low_row"))
@@ -294,14 +300,15 @@ def _first_rows(table: DataFrame) -> DataFrame:
     return table.join(table.groupBy("node").agg(F.min("row").alias("row")).select("row"), "row", "left_semi")
 
 
-def _contracted(labels: DataFrame, links: DataFrame) -> DataFrame:
-    """``node, label`` after the links: labels that are linked become the least of them."""
+def _contracted(labels: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``node, label`` after the links, and ``label, to`` of labels that changed: linked ones become the least of them."""
     ends = links
     for end in ("u", "v"):
         ends = ends.join(labels.select(F.col("node").alias(end), F.col("label").alias(f"l{end}")), end)
     between = written(ends.filter("lu <> lv").select(F.col("lu").alias("u"), F.col("lv").alias("v")).distinct(), "label-pairs")
-    joined = components(between).select(F.col("node").alias("label"), F.col("label").alias("to"))
-    return written(labels.join(joined, "label", "left").select("node", F.coalesce("to", "label").alias("label")), "labels")
+    moved = written(components(between).filter("node <> label").select(
+        F.col("node").alias("label"), F.col("label").alias("to")), "moved")
+    return written(labels.join(moved, "label", "left").select("node", F.coalesce("to", "label").alias("label")), "labels"), moved
 
 
 def _star_pairs(narrow: DataFrame, key: str, percent: int) -> DataFrame:
@@ -311,7 +318,27 @@ def _star_pairs(narrow: DataFrame, key: str, percent: int) -> DataFrame:
         F.count("*").alias("c")).filter("c > 1 and centre is not null").select(F.col(key), "centre")
     members = narrow.join(centres, key).filter("node <> centre").alias("m")
     return members.join(narrow.alias("c"), F.col("m.centre") == F.col("c.node")).filter(
-        _may_link(percent, "m", "c")).select(F.col("m.centre").alias("a"), F.col("m.node").alias("b"))
+        _may_link(percent, "m", "c")).select(
+        F.col("m.centre").alias("a"), F.col("m.node").alias("b"), F.least("m.n", "c.n").alias("least_n"))
+
+
+def _second_stars(nodes: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """Nodes with a member of the largest label of each list of their first keys, if theirs is another.
+
+    Each list draws its own member, so a node far from one of a large group meets others of it.
+    """
+    members = labels.groupBy("label").agg(F.count("*").alias("members"))
+    listed = nodes.select("node", F.explode(F.slice("keys", 1, _STAR_KEYS)).alias("key")).join(labels, "node").join(
+        members, "label")
+    drawn = F.col("members") * 1024 + F.pmod(F.xxhash64("node", "key"), F.lit(1024))
+    centres = listed.groupBy("key").agg(
+        F.max_by("node", drawn).alias("centre"), F.max_by("label", drawn).alias("other"),
+        F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("key", "centre", "other")
+    met = listed.join(centres, "key").filter("label <> other").select("centre", "node").distinct()
+    narrow = nodes.select("node", "n", *_BITS)
+    m = met.join(narrow, "node").alias("m")
+    return m.join(narrow.alias("c"), F.col("m.centre") == F.col("c.node")).filter(_may_link(percent, "m", "c")).select(
+        F.col("m.centre").alias("a"), F.col("m.node").alias("b"), F.least("m.n", "c.n").alias("least_n"))
 
 
 def _of_shared_keys(listed: DataFrame, about: DataFrame) -> DataFrame:
