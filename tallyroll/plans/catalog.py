@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,9 +23,10 @@ from ..operators import scoring as S
 from ..operators import validate as V
 from ..operators.ordinals import dense_ordinal
 from ..schema import FIELDS, OVERALL_FIELDS, RECEIPT
-from ..session import fresh_dir
+from ..session import fresh_dir, written
 from ..sources import annotations, images, shards
 from ..streaming import jobs as stream
+from ..streaming import life
 from . import fixtures as fx
 from . import raw, roundtrips
 
@@ -258,6 +260,86 @@ def compare_models(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table.select("model_id", *[_r(c).alias(c) for c in C.F1_COLUMNS], "skipped", "reason")
 
 
+class SheetRunner(P.Runner):
+    """Reads a receipt sheet (JSON bytes) with the mistakes of one model: words turned, dropped or unknown, wrong amounts."""
+
+    salt = 0
+
+    def _line(self, key: int, at: int, item: dict) -> dict | None:
+        kind = (key * 7 + at + self.salt) % 10
+        words, quantity, total = item["name"].split(" "), item["quantity"], item["total"]
+        if kind == 0:
+            return None
+        name = {1: " ".join(reversed(words)), 2: " ".join(words[:-1]), 6: "UNKNOWN"}.get(kind, item["name"])
+        line = {"name": name, "quantity": str({5: quantity + 1, 8: int(quantity)}.get(kind, quantity)),
+                "total": {3: total * 1.015, 4: total * 1.05, 7: 0.0}.get(kind, total)}
+        return line | ({"unit_price": total} if kind == 7 else {})
+
+    def extract(self, image: bytes) -> str:
+        sheet = json.loads(image)
+        key, total, store = sheet["order_key"], sheet["total"], sheet["store_name"]
+        if key % 11 == 0:
+            return "This receipt cannot be read."
+        if (key + self.salt) % 5 == 0:
+            store = " ".join(reversed(store.split(" ")))
+        elif (key + self.salt) % 5 == 1:
+            store = store.split(" ")[0]
+        elif (key + self.salt) % 17 == 0:
+            store = None
+        total = f"${total}" if key % 13 == 0 else str(total * 1.03) if key % 7 == 0 else str(total)
+        lines = [self._line(key, at, item) for at, item in enumerate(sheet["items"], 1)]
+        return json.dumps({"store_name": store, "total": total, "items": [line for line in lines if line]})
+
+
+class ChattyRunner(SheetRunner):
+    """Talks first about every fourth receipt, and answers in a fence when asked again."""
+
+    salt = 1
+
+    def extract(self, image: bytes) -> str:
+        return "Here is what I see." if json.loads(image)["order_key"] % 4 == 0 else super().extract(image)
+
+    def again(self, image: bytes, answer: str) -> str:
+        return f"```json\n{super().extract(image)}\n```"
+
+
+class ThirdRunner(SheetRunner):
+    salt = 2
+
+
+class FailingRunner(SheetRunner):
+    """Cannot hold some receipts."""
+
+    def extract(self, image: bytes) -> str:
+        key = json.loads(image)["order_key"]
+        if key % 50 == 3:
+            raise MemoryError(f"receipt {key} is too large")
+        return super().extract(image)
+
+
+RUNNERS = {**dict(zip(fx.MODELS, (SheetRunner, ChattyRunner, ThirdRunner), strict=True)), "model-d": _NoKey, "model-e": FailingRunner}
+
+
+@query
+def compare_runners(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five models run over every receipt, asked again, scored and compared.
+
+    One cannot be built, one raises on some receipts, one answers at the second try.
+    """
+    models = C.requested_models(fx.MODELS, RUNNERS, keyed="model-d", has_key=True) + ["model-e"]
+    gt = fx.receipts_gt(spark, sf_dir)
+    sheet = F.to_json(F.struct("order_key", "store_name", "total", "items"))
+    samples = gt.select("receipt_id", F.encode(sheet, "UTF-8").alias("content"))
+    answered = written(P.run_models(samples, {m: RUNNERS[m] for m in models}, "receipt_id"), "answers")
+    pred = answered.filter("payload is not null").select("receipt_id", "model_id", S.scorable_json(F.col("payload")).alias("pred"))
+    scored = S.score_receipts(S.pair_models(fx.truth(gt), pred, models), ("receipt_id", "model_id"))
+    table = C.compare_run(scored, models, P.first_failures(answered, "receipt_id"))
+    twice = answered.groupBy("model_id").agg(F.count_if(F.col("asked") > 1).alias("asked_again"))
+    return table.join(twice, "model_id").select(
+        "model_id", *[_r(c).alias(c) for c in C.F1_COLUMNS], "skipped", "reason",
+        F.when(~F.col("skipped"), F.col("asked_again")).alias("asked_again"))
+
+
 @query
 def collect_tally(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every event is a task; only finished ones have a result."""
@@ -592,16 +674,48 @@ def stream_job_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stream.current_states(spark, f"{work}/out")
 
 
+@query
+def stream_job_expiry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R2 with a result life of a day, over four micro-batches in no order of time: the jobs that still show a state."""
+    work = fresh_dir(spark, "job-life")
+    events = raw.job_events(raw.batched_stream(fx.table(spark, sf_dir, "events"), "event_id", f"{work}/in"))
+    life.start_expiring_states(events, f"{work}/out", f"{work}/ckpt").awaitTermination()
+    return life.live_states(spark, f"{work}/out").withColumn("expires_at", F.col("expires_at").cast("timestamp_ntz"))
+
+
+class BusyRunner(P.Runner):
+    """A service that turns the first tries of some images away; the image says how many."""
+
+    model_id = "busy"
+
+    def extract(self, image: bytes) -> str:
+        return self.attempt(image, 1)
+
+    def attempt(self, image: bytes, number: int) -> str:
+        fails, text = image.decode().split("|")
+        if number <= int(fails):
+            raise ConnectionError("busy")
+        return text
+
+
+@query
+def stream_retries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event as a submission to a busy service; failed ones come back when due, three times at most."""
+    work = fresh_dir(spark, "retries")
+    sent = raw.submissions(fx.table(spark, sf_dir, "events"))
+    arriving = raw.timed_stream(sent, "ts", f"{work}/in", batches=4, closing=5)
+    life.start_retrying(arriving, "busy", BusyRunner, f"{work}/out", f"{work}/ckpt").awaitTermination()
+    return life.tries(spark, f"{work}/out").filter("job_id >= 0").select(
+        "job_id", "attempt", F.col("due").cast("timestamp_ntz").alias("due"), "raw", "error", "waits")
+
+
 @query
 def stream_dedupe_results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """R3 over four micro-batches in no order of time: late tasks are settled, so each comes through once."""
+    """R3 over four micro-batches in no order of time: each task comes through once."""
     work = fresh_dir(spark, "results")
-    events = fx.table(spark, sf_dir, "events")
-    results = raw.deliveries(raw.batched_stream(events, "event_id", f"{work}/in"))
-    stream.start_append(stream.dedupe_results(results), f"{work}/out", f"{work}/ckpt").awaitTermination()
-    kept = spark.read.parquet(f"{work}/out")
-    late = stream.settle_late(raw.deliveries(spark.read.parquet(f"{work}/in")), kept)
-    return kept.select("task_id").union(late.select("task_id")).groupBy("task_id").agg(F.count("*").alias("n"))
+    results = raw.deliveries(raw.batched_stream(fx.table(spark, sf_dir, "events"), "event_id", f"{work}/in"))
+    stream.start_settling(results, f"{work}/out", f"{work}/ckpt").awaitTermination()
+    return spark.read.parquet(f"{work}/out").groupBy("task_id").agg(F.count("*").alias("n"))
 
 
 @query

@@ -533,6 +533,19 @@ FROM (SELECT *, row_number() OVER (PARTITION BY receipt_id, model_id, pos ORDER
             "false AS skipped, CAST(NULL AS VARCHAR) AS reason FROM m UNION ALL "
             "SELECT 'model-d', NULL, NULL, NULL, NULL, NULL, NULL, true, 'credential is not set'",
         ),
+        "compare_runners": _scored(
+            PRED,
+            ", m AS (SELECT model_id, "
+            + ", ".join(f"avg({f}_f1) AS {f}_f1" for f in OVERALL_FIELDS)
+            + " FROM scores GROUP BY ALL) SELECT model_id, "
+            + _f1s(OVERALL_FIELDS)
+            + f", round(({' + '.join(f'{f}_f1' for f in OVERALL_FIELDS)}) / 5, 6) AS overall_f1, "
+            "false AS skipped, CAST(NULL AS VARCHAR) AS reason, (SELECT count(*) FROM gt WHERE order_key % 11 = 0 "
+            f"OR (model_id = '{MODELS[1]}' AND order_key % 4 = 0)) AS asked_again FROM m UNION ALL "
+            "SELECT 'model-d', NULL, NULL, NULL, NULL, NULL, NULL, true, 'credential is not set', NULL UNION ALL "
+            "SELECT 'model-e', NULL, NULL, NULL, NULL, NULL, NULL, true, 'runtime error: receipt ' || "
+            "(SELECT min(order_key) FROM gt WHERE order_key % 50 = 3) || ' is too large', NULL",
+        ),
         "running_scores": _scored(
             PRED,
             " SELECT model_id, count(*) AS n, round(avg(overall_f1), 6) AS mean_f1 FROM scores GROUP BY ALL",
@@ -643,6 +656,18 @@ SELECT page_id AS receipt_id, CAST(CASE WHEN page_id % 3 = 0 THEN 3 ELSE 1 END A
   CAST({len(PROMPT.format(schema_json=RECEIPT))} AS INT) AS prompt_chars, md5(base64(encode(html))) AS image_md5 FROM pages""",
         "job_status": JOB_STATUS,
         "stream_job_status": JOB_STATUS,
+        "stream_job_expiry": f"""
+SELECT j.job_id, status, result, last + INTERVAL 24 HOUR AS expires_at FROM ({JOB_STATUS}) j
+JOIN (SELECT user_id AS job_id, max(ts) AS last FROM events GROUP BY ALL) l USING (job_id)
+WHERE last + INTERVAL 24 HOUR > (SELECT max(ts) FROM events)""",
+        "stream_retries": """
+WITH s AS (
+  SELECT event_id AS job_id, ts, event_type, CASE WHEN event_id % 50 = 7 THEN 9 WHEN event_id % 10 = 3 THEN 1
+    WHEN event_id % 10 = 5 THEN 2 WHEN event_id % 100 = 9 THEN 3 ELSE 0 END AS fails FROM events
+), t AS (SELECT *, unnest(range(1, least(fails, 3) + 2)) AS attempt FROM s)
+SELECT job_id, CAST(attempt AS INT) AS attempt, ts + (attempt - 1) * INTERVAL 2 SECOND AS due,
+  CASE WHEN attempt > fails THEN event_type END AS raw,
+  CASE WHEN attempt <= fails THEN 'ConnectionError: busy' END AS error, attempt <= fails AND attempt < 4 AS waits FROM t""",
         "dedupe_results": "SELECT event_id AS task_id, min(ts) AS first_ts FROM events GROUP BY ALL",
         "stream_dedupe_results": "SELECT event_id AS task_id, CAST(1 AS BIGINT) AS n FROM events GROUP BY ALL",
         "stream_extract": _with(GT, CORD_LINES)

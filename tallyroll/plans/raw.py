@@ -261,12 +261,30 @@ def batched_stream(df: DataFrame, key: str, path: str, files: int = 4) -> DataFr
     return df.sparkSession.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
-def file_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A driver table as a file stream."""
-    schema = table(spark, sf_dir, name).schema
-    return (
-        spark.readStream.schema(schema)
-        .option("pathGlobFilter", f"{name}.parquet")
-        .option("maxFilesPerTrigger", 1)
-        .parquet(sf_dir)
-    )
+def submissions(events: DataFrame) -> DataFrame:
+    """``job_id, content, ts``: every event is a submission; the image says how many tries fail (9: all)."""
+    key = F.col("event_id")
+    fails = F.when(key % 50 == 7, 9).when(key % 10 == 3, 1).when(key % 10 == 5, 2).when(key % 100 == 9, 3).otherwise(0)
+    return events.select(
+        key.alias("job_id"), F.encode(F.concat(fails.cast("string"), F.lit("|"), "event_type"), "UTF-8").alias("content"),
+        F.col("ts").cast("timestamp").alias("ts"))
+
+
+def timed_stream(df: DataFrame, time: str, path: str, batches: int, closing: int) -> DataFrame:
+    """A table as a stream of ``batches`` files in order of time, and ``closing`` later rows without a key, an hour apart.
+
+    The closing rows stand for the traffic that goes on and moves the clock.
+    """
+    spark = df.sparkSession
+    ends = df.agg(F.min(time).alias("a"), F.max(time).alias("b")).first()
+    at = F.floor((F.unix_micros(time) - F.unix_micros(F.lit(ends.a))) * batches / (
+        F.unix_micros(F.lit(ends.b)) - F.unix_micros(F.lit(ends.a)) + 1))
+    for i in range(batches):
+        df.filter(at == i).coalesce(1).write.mode("append").parquet(path)
+    for i in range(1, closing + 1):
+        late = spark.range(1).select(*[
+            F.timestamp_add("HOUR", F.lit(i), F.lit(ends.b)).alias(f.name) if f.name == time
+            else (F.lit(-i).cast(f.dataType) if f.name == "job_id" else F.lit(b"0|tick").cast(f.dataType)).alias(f.name)
+            for f in df.schema.fields])
+        late.coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)

@@ -121,15 +121,44 @@ def dedupe_results(results: DataFrame) -> DataFrame:
 
     Input should arrive about in time order: a row later than the watermark is
     dropped here, and the count of such rows shows in the query progress;
-    ``settle_late`` finds the tasks that this leaves out.
+    ``start_settling`` takes deliveries in any order.
     """
     return results.withWatermark("ts", RESULT_LIFE).dropDuplicatesWithinWatermark(["task_id"])
 
 
-def settle_late(delivered: DataFrame, kept: DataFrame) -> DataFrame:
-    """First delivery of the tasks of which every delivery came too late for ``dedupe_results``."""
-    missed = delivered.join(kept.select("task_id"), "task_id", "left_anti")
-    return missed.groupBy("task_id").agg(F.min("ts").alias("ts"))
+def start_settling(results: DataFrame, out: str, checkpoint: str, buckets: int = 64):
+    """R3 in any order of time: each task's first delivery goes to a table of settled tasks, dealt by hash of the task.
+
+    A batch reads the buckets that its own tasks fall into, once each, and leaves
+    out what is settled there; other buckets and earlier deliveries are not read. A
+    repeated batch ignores and replaces what it wrote itself.
+    """
+    bucket = F.pmod(F.xxhash64("task_id"), F.lit(buckets)).cast("int")
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        first = batch.groupBy("task_id").agg(F.min("ts").alias("ts")).withColumn("bucket", bucket)
+        touched = sorted(r.bucket for r in first.select("bucket").distinct().collect())  # at most ``buckets``
+        path = spark._jvm.org.apache.hadoop.fs.Path
+        files = path(out).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        known = [p for p in (f"{out}/bucket={b}" for b in touched) if files.exists(path(p))]
+        if known:
+            settled = spark.read.schema(settled_schema(first)).option("basePath", out).parquet(*known)
+            first = first.join(settled.filter(F.col("batch") != batch_id).select("task_id"), "task_id", "left_anti")
+        rows = first.withColumn("batch", F.lit(batch_id).cast("bigint")).repartition("bucket")
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "batch").parquet(out)
+
+    return (
+        results.writeStream.foreachBatch(write)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
+
+
+def settled_schema(first: DataFrame) -> str:
+    """Columns of the table of settled tasks."""
+    return f"task_id {first.schema['task_id'].dataType.simpleString()}, ts timestamp, bucket int, batch bigint"
 
 
 def start_append(stream: DataFrame, out: str, checkpoint: str):
