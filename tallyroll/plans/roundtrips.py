@@ -8,10 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import compare as C
-from ..operators import corpus as K
 from ..operators import jobs as J
 from ..operators import scoring as S
-from ..operators.ordinals import dense_ordinal
+from ..operators.ordinals import dense_ordinal, seeded_hash
 from ..schema import FIELDS
 from ..session import fresh_dir
 from ..sources import annotations, images, reports
@@ -79,7 +78,7 @@ def report_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A report with summary and samples; the means follow from the samples read back."""
     path = fresh_dir(spark, "report")
     scored = _scored(spark, sf_dir, fx.MODELS[:1])
-    reports.write_report(S.mean_scores(scored), scored.select("receipt_id", F.struct(*FIELDS).alias("scores")), path)
+    reports.write_report(scored, ["receipt_id", F.struct(*FIELDS).alias("scores")], path)
     samples = spark.read.text(f"{path}/samples").select(
         J.restore_scores(F.get_json_object("value", "$.scores")).alias("r"))
     again = S.summary_rows(S.mean_scores(samples.select("r.*")))
@@ -124,8 +123,8 @@ def score_json_receipts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def shuffled_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """L2: the place of every receipt in a full shuffle of one epoch."""
-    rows = K.shuffled(raw.receipt_keys(spark, sf_dir), "receipt_id", seed=7, epoch=1)
-    numbered = dense_ordinal(rows.withColumn("at", F.monotonically_increasing_id()), "at", name="position", unique=True)
+    keys = raw.receipt_keys(spark, sf_dir)
+    numbered = dense_ordinal(keys, seeded_hash("receipt_id", 7, 1), "receipt_id", name="position", unique=True)
     return numbered.select("receipt_id", "position")
 
 

@@ -198,7 +198,7 @@ def test_reports(spark, tmp_path):
         "receipt_id", S.scorable_json(F.col("j")).alias("pred"), S.scorable_json(F.col("j")).alias("gt")
     )
     scored = S.score_receipts(df)
-    reports.write_report(S.mean_scores(scored), scored, f"{tmp_path}/r")
+    reports.write_report(scored, ["*"], f"{tmp_path}/r")
     lines = spark.read.text(f"{tmp_path}/r/summary").collect()
     summary = json.loads(lines[0][0])
     assert len(lines) == 1 and summary["total"]["f1"] == 1.0 and summary["overall_f1"] == 0.2
@@ -210,3 +210,25 @@ def test_reports(spark, tmp_path):
     reports.write_comparison(table, f"{tmp_path}/c")
     rows = [json.loads(r[0]) for r in spark.read.text(f"{tmp_path}/c").collect()]
     assert rows[0]["m"]["overall_f1"] == 1.0 and rows[1]["n"] == {"skipped": True, "reason": "no key"}
+
+
+def test_report_scores_once(spark, tmp_path):
+    """The scoring input is read once for summary and samples; the summary equals the means, also without samples."""
+    calls = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for b in batches:
+            calls.add(b.num_rows)
+            yield b
+
+    texts = spark.createDataFrame([(i, f'{{"total":{i % 3 + 1}}}', '{"total":1}') for i in range(50)], "receipt_id int, p string, g string")
+    df = texts.mapInArrow(seen, texts.schema).select("receipt_id", S.scorable_json(F.col("p")).alias("pred"), S.scorable_json(F.col("g")).alias("gt"))
+    scored = S.score_receipts(df)
+    reports.write_report(scored, ["receipt_id"], f"{tmp_path}/r")
+    assert calls.value == 50
+    said = json.loads(spark.read.text(f"{tmp_path}/r/summary").first()[0])
+    means = reports.report_summary(S.mean_scores(scored)).first().asDict(recursive=True)
+    assert said["total"] == pytest.approx(means["total"]) and said["overall_f1"] == pytest.approx(means["overall_f1"])
+    assert spark.read.json(f"{tmp_path}/r/samples").count() == 50
+    reports.write_report(scored.limit(0), ["receipt_id"], f"{tmp_path}/none")
+    assert json.loads(spark.read.text(f"{tmp_path}/none/summary").first()[0])["overall_f1"] == 0.0
