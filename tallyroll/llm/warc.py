@@ -81,9 +81,15 @@ def digest_ok(said: str | None, data: bytes) -> bool:
     return not (said or "").startswith("sha256:") or said[7:] == hashlib.sha256(data).hexdigest()
 
 
+def _without(tags: re.Pattern, put: str, text: str) -> str:
+    """Every tag replaced, in linear time: none ends after the last ``>``, and before it each that begins also ends."""
+    end = text.rfind(">") + 1
+    return tags.sub(put, text[:end]) + text[end:]
+
+
 def plain_text(page: str) -> str:
     """Visible text: scripts, styles and comments go, blocks end lines, entities are read."""
-    text = _TAGS.sub("", _BREAKS.sub("\n", _SKIPPED.sub(" ", page)))
+    text = _without(_TAGS, "", _without(_BREAKS, "\n", _SKIPPED.sub(" ", page)))
     lines = (_BLANKS.sub(" ", line).strip() for line in html.unescape(text).replace("\r", "\n").split("\n"))
     return "\n".join(line for line in lines if line)
 

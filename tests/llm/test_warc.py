@@ -1,4 +1,5 @@
 import hashlib
+import time
 
 from pyspark.sql import functions as F
 
@@ -50,3 +51,13 @@ def test_broken_records(spark):
 def test_text_of_odd_markup():
     assert warc.plain_text("<script>never closed") == "" and warc.plain_text("a <b") == "a <b"
     assert warc.plain_text("x" * 200_000 + "<p>y") == "x" * 200_000 + "\ny" and warc.plain_text("&lt;p&gt;") == "<p>"
+
+
+def test_broken_markup_takes_linear_time():
+    for piece in ("<a ", "<p ", "<!x", "<script x", "</script ", "<!--", "<a href='x' <p>", "<"):
+        page = piece * (2_000_000 // len(piece))
+        began = time.monotonic()
+        warc.plain_text(page)
+        warc.plain_text(page + ">end")
+        assert time.monotonic() - began < 10, piece
+    assert warc.plain_text("a<b>c</b><p>d<a href") == "ac\nd<a href"
