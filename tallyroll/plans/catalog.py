@@ -797,6 +797,16 @@ def shard_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def buffered_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An epoch over the packed shards in seeded order, each through a shuffle buffer."""
+    work = fresh_dir(spark, "epoch")
+    _packed(spark, sf_dir, work)
+    epoch = shards.read_shards(spark, work, ["shard_place", "place", "shard_id", "idx", "json"], seed="7:0", buffer=100)
+    return epoch.select(
+        "shard_place", "place", "shard_id", "idx", F.get_json_object("json", "$.store.name").alias("store"))
+
+
 @query
 def list_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keys and sizes of all packed shards."""

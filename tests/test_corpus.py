@@ -177,6 +177,77 @@ def test_shards(spark, tmp_path):
     assert shards.expand_braces("a/{08..10}.tar") == ["a/08.tar", "a/09.tar", "a/10.tar"]
 
 
+def _numbered(spark, path, n=60, size=20):
+    df = spark.range(n).select(
+        F.col("id").alias("key"), F.encode(F.col("id").cast("string"), "UTF-8").alias("jpg"),
+        F.to_json(F.struct("id")).alias("json"))
+    shards.write_shards(K.assign_shards(df, "key", size), path)
+
+
+def test_only_what_is_asked_for_is_read(spark, tmp_path):
+    out = f"{tmp_path}/shards"
+    _numbered(spark, out)
+    for other in ("000000.tar", "000002.tar"):  # reading either of them fails
+        with open(f"{out}/{other}", "wb") as broken:
+            broken.write(b"no tar" * 1000)
+    asked = shards.read_shards(spark, out, only=[1])
+    assert asked.rdd.getNumPartitions() == 1 and asked.count() == 20
+    # a query's filter changes nothing for the next one over the same rows
+    assert asked.filter("idx < 3").count() == 3 and asked.count() == 20
+    assert asked.filter("idx < 3").union(asked.filter("idx > 17")).count() == 5
+    assert shards.read_shards(spark, out, only=[]).count() == 0
+    with pytest.raises(Exception):
+        shards.read_shards(spark, out).count()
+    whole = shards.read_shards(spark, out + "/000001.tar", ["idx", "json"])
+    assert whole.columns == ["idx", "json"] and sorted(r.idx for r in whole.collect()) == list(range(20))
+    wanted = shards._Reader({"path": out}, ["json"])
+    taken = []
+    read_member = tarfile.TarFile.extractfile
+    try:
+        tarfile.TarFile.extractfile = lambda tar, member: taken.append(member.name) or read_member(tar, member)
+        assert len(list(wanted.read(shards._Shard(f"{out}/000001.tar", 1)))) == 20
+    finally:
+        tarfile.TarFile.extractfile = read_member
+    assert len(taken) == 20 and all(name.endswith(".json") for name in taken)
+
+
+def test_buffered_epochs(spark, tmp_path):
+    out = f"{tmp_path}/shards"
+    _numbered(spark, out)
+
+    def epoch(seed, buffer=8):
+        rows = shards.read_shards(spark, out, seed=seed, buffer=buffer).orderBy("shard_place", "place").collect()
+        assert [(r.shard_place, r.place) for r in rows] == [(s, i) for s in range(3) for i in range(20)]
+        return [(r.shard_id, r.idx) for r in rows]
+
+    first = epoch("3:0")
+    assert sorted(first) == [(s, i) for s in range(3) for i in range(20)] and first != sorted(first)
+    assert epoch("3:0") == first and epoch("3:1") != first
+    assert len({tuple(s for s, _ in epoch(f"3:{e}")[::20]) for e in range(12)}) > 1  # shards change places, too
+    assert all(idx <= place % 20 + 8 for place, (_, idx) in enumerate(first))  # no sample leaves before it came
+    assert [i for _, i in epoch("3:0", 1)] == list(range(20)) * 3
+    part = shards.read_shards(spark, out, only=[2], seed="3:0", buffer=8).filter("idx < 5").collect()
+    at = {key: place for place, key in enumerate(first)}
+    assert len(part) == 5 and all(at[r.shard_id, r.idx] == r.shard_place * 20 + r.place for r in part)
+    with pytest.raises(ValueError, match="buffer"):
+        shards.read_shards(spark, out, seed="1", buffer=0)
+
+
+def test_shuffle_buffer_against_brute_force():
+    draws = [2, 0, 1, 1, 0, 0]
+    queue = iter(draws)
+    # a b c held; d pushes c out, e pushes a, f pushes b; then e f d leave as drawn
+    assert list(shards.buffered("abcdef", 3, lambda n: next(queue))) == ["c", "a", "b", "f", "e", "d"]
+    assert list(shards.buffered("", 3, lambda n: 0)) == []
+
+
+def test_failed_task_leaves_no_shard(spark, tmp_path):
+    rows = spark.createDataFrame([(0, 0, "{}", "/none/there.jpg")], "shard_id long, idx long, json string, uri string")
+    with pytest.raises(Exception, match="there.jpg"):
+        shards.write_shards(rows, f"{tmp_path}/failed")
+    assert os.listdir(tmp_path / "failed") == []
+
+
 def test_training_targets_and_requests(spark):
     df = spark.createDataFrame([("{}",), ('{"a": 1, "b": 2}',)], "json string")
     got = K.training_targets(df, max_length=2).collect()
