@@ -799,12 +799,16 @@ def shard_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def buffered_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An epoch over the packed shards in seeded order, each through a shuffle buffer."""
+    """An epoch over the packed shards in seeded order, each through a shuffle buffer.
+
+    SQL knows the order of shards, not the draws: told is whether a sample came within the buffer's reach.
+    """
     work = fresh_dir(spark, "epoch")
     _packed(spark, sf_dir, work)
     epoch = shards.read_shards(spark, work, ["shard_place", "place", "shard_id", "idx", "json"], seed="7:0", buffer=100)
     return epoch.select(
-        "shard_place", "place", "shard_id", "idx", F.get_json_object("json", "$.store.name").alias("store"))
+        "shard_place", "shard_id", "idx", F.get_json_object("json", "$.store.name").alias("store"),
+        (F.col("idx") <= F.col("place") + 100).alias("in_reach"))
 
 
 @query

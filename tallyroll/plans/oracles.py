@@ -681,6 +681,11 @@ SELECT CAST(doc_id AS VARCHAR) AS job_id, 'text' AS model_id, CAST(1 AS INT) AS
         "list_objects": f"""
 WITH {KEYS} SELECT DISTINCT format('{{:06d}}.tar', (row_number() OVER (ORDER BY receipt_id) - 1) // 1000) AS key,
   true AS has_bytes FROM gt""",
+        "buffered_order": _with(GT)
+        + """, o AS (SELECT store, row_number() OVER (ORDER BY receipt_id) - 1 AS ordinal FROM gt),
+s AS (SELECT shard_id, row_number() OVER (ORDER BY sha256('7:0:' || format('{:06d}.tar', shard_id))) - 1 AS shard_place
+  FROM (SELECT DISTINCT ordinal // 1000 AS shard_id FROM o))
+SELECT shard_place, shard_id, ordinal % 1000 AS idx, store, true AS in_reach FROM o JOIN s ON shard_id = ordinal // 1000""",
         "shard_roundtrip": _with(GT)
         + """, o AS (SELECT receipt_id, store, row_number() OVER (ORDER BY receipt_id) - 1 AS ordinal FROM gt)
 SELECT ordinal // 1000 AS shard_id, ordinal % 1000 AS idx, receipt_id, store,
