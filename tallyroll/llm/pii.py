@@ -8,27 +8,42 @@ from pyspark.sql import functions as F
 from ..session import written
 
 #: Titles before names (fixed values).
-_TITLES = "Mr|Mrs|Ms|Miss|Herr|Frau|Monsieur|Madame|Señor|Señora|Sr|Sra|Г-н|Г-жа|Κος|Κα"
+_TITLES = ("Mr|Mrs|Ms|Miss|Dr|Prof|Professor|Herr|Frau|Fräulein|Monsieur|Madame|Mme|Mlle|Señor|Señora|Señorita|Sr|Sra|Srta|Dra"
+           "|Г-н|Г-жа|Κος|Κα")
+#: Function words, days and months that end a name, in any case (fixed values); "will" and "may" do not, as they are names too.
+_NO_NAME = (
+    "the|this|that|these|those|a|and|but|or|if|when|while|who|what|where|why|how|he|she|it|we|you|they|i|his|her|their|its|our|my|your"
+    "|on|in|at|to|from|for|with|by|of|as|after|before|since|until|about|is|was|are|were|has|had|have|did|does|not|yes|said|then|there|here"
+    "|monday|tuesday|wednesday|thursday|friday|saturday|sunday|january|february|march|july|september|october|november|december"
+    "|der|die|und|aber|im|am|um|mit|nach|bei|auf|aus|ist|war|hat|sie|wir|ihr|montag|dienstag|mittwoch|donnerstag|freitag|samstag|sonntag"
+    "|et|mais|dans|avec|pour|sur|est|il|elle|nous|vous|ils|lundi|mardi|mercredi|jeudi|vendredi|samedi|dimanche"
+    "|pero|con|por|para|ella|ellos|lunes|martes|miércoles|jueves|viernes|sábado|domingo")
+#: Names that are everyday words: they are replaced in a titled name, but not where they stand alone (fixed values).
+_EVERYDAY = "will may mark bill rose grace hope joy art dean young long king page day april june august summer".split()
 #: Lower-case words inside names, the longer ones first; they stay (fixed values).
 _PARTICLES = "della|degli|dell|dalla|dos|das|dal|del|den|der|des|di|da|de|do|du|van|von|vom|zum|zur|zu|ten|ter|te|la|le|lo|el|al|bin|ibn|af|av|y|e|[dl]['’]"
 #: One word of a name: inner capitals and apostrophes belong to it, a possessive or contracted ending does not.
 _WORD = r"\p{Lu}[\p{L}\p{M}]*+(?:['’](?!(?:s|S|d|m|t|ll|re|ve)(?![\p{L}\p{M}]))[\p{L}\p{M}]++)*+"
-_UNIT = r"(?:\p{Lu}\.[ -]?+){0,8}(?:(?:" + _PARTICLES + r")[ -]?+){0,8}" + _WORD
+_UNIT = (r"(?:\p{Lu}\.[ -]?+){0,8}(?:(?:" + _PARTICLES + r")[ -]?+){0,8}(?!(?iu:" + _NO_NAME + r")(?![\p{L}\p{M}'’]))" + _WORD)
 #: Detection patterns by type, tried in this order (fixed values; each starts at a word edge and
 #: runs possessively, so a long text without matches costs linear time).
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@(?:(?:[\p{L}\p{N}-]++\.)++\p{L}{2,}+"
              r"|[\p{L}\p{N}-]++(?:\.[\p{L}\p{N}-]++){0,126}\.\p{L}{2,}+)",  # the second gives back a full stop
-    "key": r"(?<![A-Za-z0-9_-])(?:(?:AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,64})(?![A-Za-z0-9])",
+    "key": r"(?<![A-Za-z0-9_-])(?:(?:AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,64})(?![A-Za-z0-9])"
+           r"|(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}+\.eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+",
     "hex": r"(?<![A-Za-z0-9])[0-9a-f]{32,64}(?![A-Za-z0-9])",
+    "ip6": r"(?<![A-Za-z0-9:.])(?=[0-9A-Fa-f:]{7})(?=[A-Fa-f:]{0,39}\d)(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}"
+           r"|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6})(?![A-Za-z0-9:])",
     "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\.?\d)",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}+(?: ?[A-Z0-9]{1,3})?+(?![A-Za-z0-9])",
     "card": r"(?<!\d)(?:\d{4}[ -]?){3}\d{1,7}(?!\d)|(?<!\d)3\d{3}[ -]?\d{6}[ -]?\d{5}(?!\d)",
     "phone": r"(?<![\d+])(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}(?!\d)"
              r"|(?<![\d+])\+\d{1,3}[ .-]?\d{2,4}(?:[ .-]?\d{2,4}){1,4}+(?!\d)"
-             r"|(?<![\d.-])\d{3}[ .-]\d{3}[ .-]\d{4}(?![\d-])",
-    "person": r"(?<!\p{L})(?:" + _TITLES + r")\.? " + _UNIT
+             r"|(?<![\d.-])\d{3}[ .-]\d{3}[ .-]\d{4}(?![\d-])"
+             r"|(?<![\d.,+-])0\d{2,4} \d{3,4} \d{3,4}(?![\d.,-])",
+    "person": r"(?<!\p{L})(?:(?:" + _TITLES + r")\.? ){1,4}+(?!(?:" + _TITLES + r")(?![\p{L}\p{M}]))" + _UNIT
               + r"(?:[ -](?!(?:" + _TITLES + r")(?![\p{L}\p{M}]))" + _UNIT + ")*+",
 }
 _BY_DIGIT = ("ip", "ssn", "card", "phone")
@@ -38,13 +53,13 @@ ANY = (
     r"(?<![A-Za-z])(?=[\p{L}\p{N}._%+-])(?:" + "|".join(f"(?:{p})" for n, p in PATTERNS.items() if n not in _BY_DIGIT)
     + r")|(?=[0-9+(])(?:" + "|".join(f"(?:{PATTERNS[n]})" for n in _BY_DIGIT) + ")"
 )
-#: What every match has: a digit, an at sign, the prefix of a key, 32 letters of a hexadecimal number, or a title.
+#: What every match has: a digit, an at sign, the prefix of a key or token, 32 letters of a hexadecimal number, or a title.
 #: Quick to test for texts without any.
-_SIGN = r"[0-9@]|AKIA|ASIA|gh[pousr]_|sk-|[a-f]{32}"
-_TITLED = r"(?=[MHFSГΚ])(?:" + _TITLES + r")\.? \p{L}"
+_SIGN = r"[0-9@]|AKIA|ASIA|gh[pousr]_|sk-|eyJ|[a-f]{32}"
+_TITLED = "(?=[" + "".join(sorted({t[0] for t in _TITLES.split("|")})) + "])(?:" + _TITLES + r")\.? \p{L}"
 #: Titles of women (fixed values); the other titles are men's.
-_FEMALE = r"^(?:Mrs|Ms|Miss|Frau|Madame|Señora|Sra|Г-жа|Κα)\b"
-_TITLE = r"^\S+ "
+_FEMALE = r"^(?:(?:Dr|Prof|Professor)\.? )*(?:Mrs|Ms|Miss|Frau|Fräulein|Madame|Mme|Mlle|Señora|Señorita|Sra|Srta|Dra|Г-жа|Κα)(?!\p{L})"
+_TITLE = r"^(?:(?:" + _TITLES + r")\.? )+"
 #: Syllables for names by script, and the endings of women's and men's names (fixed values).
 _SYLLABLES = {
     "latin": ("ba da fa ga la ma na ra sa ta be de le me ne re se te bi di li mi ni ri si ti bo do lo mo no ro", "a", "n"),
@@ -81,11 +96,11 @@ def _capitals(word: Column) -> Column:
 def _mention(text: Column) -> Column:
     """The pattern of all mentions in a text: ANY, and the words of its titled names wherever they recur.
 
-    Words recur as they are, in capitals, or with one capital. Single letters are no names of their own.
+    Words recur as they are, in capitals, or with one capital. Single letters and everyday words are no names of their own.
     """
     titled = F.filter(F.regexp_extract_all(text, F.lit(ANY), F.lit(0)), lambda v: v.rlike(f"^{PATTERNS['person']}$"))
     words = F.flatten(F.transform(titled, lambda v: F.regexp_extract_all(F.regexp_replace(v, _TITLE, ""), F.lit(_WORD), F.lit(0))))
-    words = F.filter(F.array_distinct(words), lambda w: F.length(w) > 1)
+    words = F.filter(F.array_distinct(words), lambda w: (F.length(w) > 1) & ~F.lower(w).isin(_EVERYDAY))
     forms = F.array_distinct(F.flatten(F.transform(words, lambda w: F.array(w, F.upper(w), _capitalised(w)))))
     again = F.concat(F.lit(ANY + r"|(?<![\p{L}\p{M}\p{N}])(?:"), F.array_join(F.sort_array(forms, asc=False), "|"),
                      F.lit(r")(?![\p{L}\p{M}\p{N}])"))
@@ -96,7 +111,7 @@ def canonical(kind: Column, value: Column) -> Column:
     """What makes two mentions one entity: digits of numbers, lower case of addresses, a capital and lower case of names."""
     return (F.when(kind.isin("phone", "card", "ssn"), _digits(value))
             .when(kind == "iban", F.replace(value, F.lit(" "), F.lit("")))
-            .when(kind == "email", F.lower(value)).when(kind == "person", _capitalised(value)).otherwise(value))
+            .when(kind.isin("email", "ip6"), F.lower(value)).when(kind == "person", _capitalised(value)).otherwise(value))
 
 
 def _noise(seed: Column, i: Column, n: int) -> Column:
@@ -125,6 +140,12 @@ def _alike(text: Column, seed: Column) -> Column:
     return F.array_join(F.transform(F.split(text, ""), one), "")
 
 
+def is_card(value: Column) -> Column:
+    """True for a number that passes the card checksum."""
+    digits = _digits(value)
+    return digits == _with_check_digit(digits)
+
+
 def _with_check_digit(digits: Column) -> Column:
     """The last digit replaced so that the number passes the card checksum."""
     n = F.length(digits)
@@ -148,7 +169,9 @@ def surrogate(kind: Column, canon: Column, female: Column, attempt: Column, seed
     email = F.concat(_alike(local, seed), F.lit("@"), F.array_join(hosts, "."), F.lit("."), top)
     ip = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: (_noise(seed, i, 254) + 1).cast("string")), ".")
     card = _with_check_digit(F.concat(F.substring(canon, 1, 1), _alike(F.substring(canon, F.lit(2), F.length(canon)), seed)))
-    prefix = F.regexp_extract(canon, r"^(AKIA|ASIA|gh[pousr]_|sk-|[A-Z]{2}(?=\d))", 1)
+    prefix = F.regexp_extract(canon, r"^(AKIA|ASIA|gh[pousr]_|sk-|eyJ|[A-Z]{2}(?=\d))", 1)
+    groups = F.array_join(F.zip_with(F.split(canon, ""), F.split(F.substring(seed, F.lit(1), F.length(canon)), ""),
+                                     lambda a, b: F.when(a == ":", a).otherwise(b)), "")
     prefixed = F.concat(prefix, _alike(F.substring(canon, F.length(prefix) + 1, F.length(canon)), seed))
     script = F.when(canon.rlike(r"\p{IsCyrillic}"), "cyrillic").when(canon.rlike(r"\p{IsGreek}"), "greek").otherwise("latin")
     person = F.lit(None).cast("string")
@@ -157,7 +180,7 @@ def surrogate(kind: Column, canon: Column, female: Column, attempt: Column, seed
         made = F.array_join(F.transform(F.sequence(F.lit(1), count), _pick(syllables.split(), seed)), "")
         person = F.when(script == name, F.concat(F.initcap(made), F.when(female, woman).otherwise(man))).otherwise(person)
     hexadecimal = F.substring(seed, F.lit(1), F.length(canon))
-    return (F.when(kind == "email", email).when(kind == "hex", hexadecimal).when(kind == "ip", ip).when(kind == "card", card)
+    return (F.when(kind == "email", email).when(kind == "hex", hexadecimal).when(kind == "ip", ip).when(kind == "ip6", groups).when(kind == "card", card)
             .when(kind.isin("key", "iban"), prefixed).when(kind == "person", person).otherwise(_alike(canon, seed)))
 
 
@@ -174,6 +197,7 @@ def formatted(kind: Column, value: Column, replacement: Column) -> Column:
     return (F.when(kind == "phone", refill(r"\D", country)).when(kind.isin("card", "ssn"), refill(r"\D", F.lit(0)))
             .when(kind == "iban", refill(" ", F.lit(0)))
             .when((kind == "person") & _capitals(value), F.upper(replacement))
+            .when((kind == "ip6") & (value != F.lower(value)), F.upper(replacement))
             .when((kind == "email") & (F.length(value) == F.length(replacement)), cased).otherwise(replacement))
 
 
@@ -211,8 +235,9 @@ def pseudonymise(docs: DataFrame, key: str, *, id_col: str = "doc_id", text_col:
     their prefix, addresses their top-level domain and case, names their script and
     the gender of the title; each word of a name is replaced for itself, so a surname
     alone refers to the same person. A name is the whole run of capitalised words after
-    a title; its words are replaced wherever they recur in the text, with a title or
-    without. Particles, titles and possessive endings stay.
+    a title, up to a function word, day or month; its words are replaced wherever they recur
+    in the text, with a title or without, but for everyday words (Will, May) that stand alone. Particles, titles and
+    possessive endings stay. A card-shaped number that fails the card checksum is none and stays.
 
     Texts without entities are not touched or shuffled. Null texts stay null, empty
     ones empty, with no types. Repeated rows are replaced alike. An empty table gives
@@ -226,6 +251,7 @@ def pseudonymise(docs: DataFrame, key: str, *, id_col: str = "doc_id", text_col:
     dirty = docs.filter(has).withColumn("_pii_mention", _mention(text))
     found = dirty.select(*ids, F.posexplode(F.regexp_extract_all(text, F.col("_pii_mention"), F.lit(0))).alias("i", "value"))
     found = found.withColumn("kind", F.coalesce(entity_type(F.col("value")), F.lit("person")))  # a name that recurs fits no type
+    found = found.withColumn("kind", F.when((F.col("kind") != "card") | is_card(F.col("value")), F.col("kind")))  # null: stays as it is
     is_person = F.col("kind") == "person"
     rest = F.regexp_replace("value", _TITLE, "")
     words = F.when(is_person, F.regexp_extract_all(rest, F.lit(_WORD), F.lit(0))).otherwise(F.array("value"))
@@ -233,10 +259,10 @@ def pseudonymise(docs: DataFrame, key: str, *, id_col: str = "doc_id", text_col:
         "_pii_a", "_pii_b", "i", "value", "kind", "female", F.posexplode(words).alias("j", "word")).withColumn(
         "canon", canonical(F.col("kind"), F.col("word")))
     mentions = written(mentions, "mentions")
-    entities = mentions.groupBy("kind", "canon").agg(F.max("female").alias("female"))
+    entities = mentions.filter("kind is not null").groupBy("kind", "canon").agg(F.max("female").alias("female"))
     known = assign(entities, key)
-    replaced = mentions.join(known, ["kind", "canon"]).withColumn(
-        "new", formatted(F.col("kind"), F.col("word"), F.col("surrogate")))
+    replaced = mentions.join(known, ["kind", "canon"], "left").withColumn(
+        "new", F.coalesce(formatted(F.col("kind"), F.col("word"), F.col("surrogate")), F.col("word")))
     whole = replaced.groupBy("_pii_a", "_pii_b", "i", "kind", "value").agg(
         F.sort_array(F.collect_set(F.struct("j", "new"))).alias("w")).withColumn("w", F.col("w.new"))
     title = F.regexp_extract("value", _TITLE, 0)
@@ -248,6 +274,6 @@ def pseudonymise(docs: DataFrame, key: str, *, id_col: str = "doc_id", text_col:
     filled = F.array_join(F.zip_with(parts, F.col("_pii_new.new"), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
     changed = dirty.withColumns(dict(zip(("_pii_a", "_pii_b"), ids, strict=True))).join(
         per_text, ["_pii_a", "_pii_b"]).select(
-        *[filled.alias(c) if c == text_col else F.col(c) for c in names], F.col("_pii_new.kind").alias("pii_types"))
+        *[filled.alias(c) if c == text_col else F.col(c) for c in names], F.filter("_pii_new.kind", lambda k: k.isNotNull()).alias("pii_types"))
     clean = docs.filter(~has).withColumn("pii_types", F.array().cast("array<string>"))
     return clean.union(changed)
