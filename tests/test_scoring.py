@@ -2,9 +2,12 @@ import json
 import random
 
 import brute
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from tallyroll.functions import similarity
 from tallyroll.functions.similarity import best_candidates, greedy_pairs, token_sort_ratio
 from tallyroll.operators import compare as C
 from tallyroll.operators import jobs as J
@@ -133,6 +136,35 @@ def test_matching_equals_brute_force(spark):
             assert cell.position == j and cell.ratio == pytest.approx(-negative)
 
 
+def test_names_are_coded_once_a_batch(monkeypatch):
+    """Receipts of many shapes share one set of masks; so many names that masks are not kept give the same pairs."""
+    draw = random.Random(3)
+    words = [" ".join(draw.choice(("red", "blå", "cup", "pan", "x" * 40)) for _ in range(n)) for n in (0, 1, 2, 3, 3, 5)]
+    sides = [[[draw.choice(words) for _ in range(draw.randrange(5))] for _ in range(60)] for _ in range(2)]
+    columns = [pa.array(side, pa.list_(pa.string())) for side in sides]
+    made, plain = [], similarity._Coded
+
+    def counted(*args):
+        made.append(1)
+        return plain(*args)
+
+    monkeypatch.setattr(similarity, "_Coded", counted)
+    want = [brute.greedy(p, g) for p, g in zip(*sides, strict=True)]
+    assert similarity._greedy(*columns, similarity.ITEM_THRESHOLD).to_pylist() == want
+    assert len(made) == 1
+    monkeypatch.setattr(similarity, "_MASK_CELLS", 64)
+    assert similarity._greedy(*columns, similarity.ITEM_THRESHOLD).to_pylist() == want
+    assert len(made) > 2
+
+
+def test_lcs_around_word_borders():
+    """Names of 63 to 130 letters, whose masks take one to three words."""
+    draw = random.Random(5)
+    keys = list(dict.fromkeys("".join(draw.choice("abcé") for _ in range(n)) for n in (1, 63, 64, 65, 127, 128, 129, 130)))
+    ia, ib = (np.array(side) for side in zip(*[(i, j) for i in range(len(keys)) for j in range(len(keys))], strict=True))
+    assert similarity.lcs_lengths(keys, ia, ib).tolist() == [brute.lcs(keys[i], keys[j]) for i, j in zip(ia, ib, strict=True)]
+
+
 def test_ratio(spark):
     rows = [("a b", "b a"), (None, ""), ("Abc", "abd"), ("é", "e"), ("", "x")]
     df = spark.createDataFrame(rows, "a string, b string")
