@@ -18,45 +18,40 @@ def _at(doc: Column, path: str) -> Column:
     return F.try_variant_get(doc, f"$.{path}", "variant")
 
 
-def _kind(doc: Column, path: str) -> Column:
-    """Variant type name at a path; NULL when the path is absent."""
-    return F.schema_of_variant(_at(doc, path))
+def _kind(value: Column) -> Column:
+    """Type name of a variant; NULL when it is absent."""
+    return F.schema_of_variant(value)
 
 
-def _text(doc: Column, path: str) -> Column:
-    return F.try_variant_get(doc, f"$.{path}", "string")
+def _text(value: Column) -> Column:
+    return F.try_variant_get(value, "$", "string")
 
 
 def _is(kind: Column, pattern: str) -> Column:
     return kind.rlike(pattern)
 
 
-def _wrong(doc: Column, path: str, pattern: str) -> Column:
+def _wrong(value: Column, pattern: str) -> Column:
     """Present, and of another type."""
-    return F.coalesce(~_is(_kind(doc, path), pattern), F.lit(False))
+    return F.coalesce(~_is(_kind(value), pattern), F.lit(False))
 
 
-def _not_in(doc: Column, path: str, allowed: tuple[str, ...]) -> Column:
-    kind = _kind(doc, path)
-    return F.coalesce(kind.isNotNull() & ~((kind == "STRING") & _text(doc, path).isin(*allowed)), F.lit(False))
+def _not_in(value: Column, allowed: tuple[str, ...]) -> Column:
+    kind = _kind(value)
+    return F.coalesce(kind.isNotNull() & ~((kind == "STRING") & _text(value).isin(*allowed)), F.lit(False))
 
 
-def _off_pattern(doc: Column, path: str, pattern: str) -> Column:
+def _off_pattern(value: Column, pattern: str) -> Column:
     """A string that misses the pattern; other types are not the pattern's business."""
-    return F.coalesce((_kind(doc, path) == "STRING") & ~_text(doc, path).rlike(pattern), F.lit(False))
+    return F.coalesce((_kind(value) == "STRING") & ~_text(value).rlike(pattern), F.lit(False))
 
 
-def _missing(doc: Column, path: str) -> Column:
-    return _at(doc, path).isNull()
-
-
-def _not_integer(doc: Column, path: str, least: int | None = None) -> Column:
+def _not_integer(value: Column, least: int | None = None) -> Column:
     """Not a whole number (1.0 is one), or below ``least``; absent is fine."""
-    kind = _kind(doc, path)
-    value = F.try_variant_get(doc, f"$.{path}", "double")
-    bad = ~_is(kind, NUMBER) | (value != F.floor(value))
+    number = F.try_variant_get(value, "$", "double")
+    bad = ~_is(_kind(value), NUMBER) | (number != F.floor(number))
     if least is not None:
-        bad = bad | (value < least)
+        bad = bad | (number < least)
     return F.coalesce(bad, F.lit(False))
 
 
@@ -64,35 +59,53 @@ def _any(*conditions: Column) -> Column:
     return reduce(lambda a, b: a | b, conditions)
 
 
-def _not_object(row: Column) -> Column:
-    return ~F.coalesce(_is(F.schema_of_variant(row), "^OBJECT"), F.lit(False))
-
-
 NULL_OR_TEXT = "^(VOID|STRING)$"
 NULL_OR_NUMBER = f"{NUMBER}|^VOID$"
 
+# The fields that rules look at, by object. An object is read in one pass to a struct
+# of their values; what is no object, or JSON null, gives a null struct.
+OBJECTS = {
+    "store": ("name", "branch", "address", "phone", "vat_number"),
+    "payment": ("method", "card_last4", "amount_tendered", "change_given"),
+    "loyalty": ("program", "card_id_masked", "points_earned", "points_balance"),
+    "metadata": ("source", "annotator", "captured_at", "device", "notes", "image_path"),
+}
+ELEMENTS = {
+    "items": (
+        "line_number", "name", "normalized_name", "sku", "category", "tax_code", "quantity", "unit", "total",
+        "unit_price", "discount_applied",
+    ),
+    "discounts": ("description", "amount", "applies_to_line"),
+    "taxes": ("label", "rate", "amount"),
+}
+
+
+def _struct(fields: tuple[str, ...]) -> str:
+    return f"struct<{','.join(f'{f}:variant' for f in fields)}>"
+
+
 # Message and test per element of a list.
 ITEM_RULES = (
-    ("items must hold objects", _not_object),
+    ("items must hold objects", lambda i: i.isNull()),
     (
         "item needs line_number, name and total",
-        lambda i: _any(*[_missing(i, f) for f in ("line_number", "name", "total")]),
+        lambda i: _any(*[i[f].isNull() for f in ("line_number", "name", "total")]),
     ),
-    ("line_number must be an integer from 1", lambda i: _not_integer(i, "line_number", 1)),
+    ("line_number must be an integer from 1", lambda i: _not_integer(i["line_number"], 1)),
     (
         "item text fields must be text",
         lambda i: _any(
-            _wrong(i, "name", "^STRING$"),
-            *[_wrong(i, f, NULL_OR_TEXT) for f in ("normalized_name", "sku", "category", "tax_code")],
+            _wrong(i["name"], "^STRING$"),
+            *[_wrong(i[f], NULL_OR_TEXT) for f in ("normalized_name", "sku", "category", "tax_code")],
         ),
     ),
-    ("quantity must be a number", lambda i: _wrong(i, "quantity", NUMBER)),
-    ("unit is not known", lambda i: _not_in(i, "unit", UNITS)),
+    ("quantity must be a number", lambda i: _wrong(i["quantity"], NUMBER)),
+    ("unit is not known", lambda i: _not_in(i["unit"], UNITS)),
     (
         "item amounts must be numbers",
         lambda i: _any(
-            _wrong(i, "total", NUMBER),
-            *[_wrong(i, f, NULL_OR_NUMBER) for f in ("unit_price", "discount_applied")],
+            _wrong(i["total"], NUMBER),
+            *[_wrong(i[f], NULL_OR_NUMBER) for f in ("unit_price", "discount_applied")],
         ),
     ),
 )
@@ -100,12 +113,12 @@ DISCOUNT_RULES = (
     (
         "discounts are malformed",
         lambda d: _any(
-            _not_object(d),
-            _missing(d, "description"),
-            _missing(d, "amount"),
-            _wrong(d, "description", "^STRING$"),
-            _wrong(d, "amount", NUMBER),
-            _wrong(d, "applies_to_line", "^VOID$") & _not_integer(d, "applies_to_line"),
+            d.isNull(),
+            d["description"].isNull(),
+            d["amount"].isNull(),
+            _wrong(d["description"], "^STRING$"),
+            _wrong(d["amount"], NUMBER),
+            _wrong(d["applies_to_line"], "^VOID$") & _not_integer(d["applies_to_line"]),
         ),
     ),
 )
@@ -113,12 +126,12 @@ TAX_RULES = (
     (
         "taxes are malformed",
         lambda t: _any(
-            _not_object(t),
-            _missing(t, "rate"),
-            _missing(t, "amount"),
-            _wrong(t, "label", "^STRING$"),
-            _wrong(t, "rate", NUMBER),
-            _wrong(t, "amount", NUMBER),
+            t.isNull(),
+            t["rate"].isNull(),
+            t["amount"].isNull(),
+            _wrong(t["label"], "^STRING$"),
+            _wrong(t["rate"], NUMBER),
+            _wrong(t["amount"], NUMBER),
         ),
     ),
 )
@@ -126,84 +139,85 @@ LISTS = {"items": ITEM_RULES, "discounts": DISCOUNT_RULES, "taxes": TAX_RULES}
 
 
 def _element_flags(doc: Column, path: str) -> Column:
-    """Per element one flag per rule of its list, so every element is read in one pass."""
-    found = F.try_variant_get(doc, f"$.{path}", "array<variant>")
+    """Per element one flag per rule of its list, so every element is read in one pass; NULL unless a list."""
+    found = F.try_variant_get(doc, f"$.{path}", f"array<{_struct(ELEMENTS[path])}>")
     tests = LISTS[path]
     return F.transform(
         found, lambda e: F.struct(*[test(e).alias(f"r{n}") for n, (_, test) in enumerate(tests)])
     )
 
 
-def _rules(doc: Column, flags: dict[str, Column]) -> list[tuple[str, Column]]:
+def _rules(doc: Column, read: dict[str, Column]) -> list[tuple[str, Column]]:
     """Message and the condition under which it applies, in rule order."""
 
     def some(path: str) -> list[tuple[str, Column]]:
         # An array of structs yields the array of one field's values.
         return [
-            (msg, F.coalesce(F.array_contains(flags[path][f"r{n}"], True), F.lit(False)))
+            (msg, F.coalesce(F.array_contains(read[path][f"r{n}"], True), F.lit(False)))
             for n, (msg, _) in enumerate(LISTS[path])
         ]
 
+    def absent(path: str) -> Column:
+        # What was read as an object or a list is there; only others are looked up.
+        there = _at(doc, path).isNull()
+        return read[path].isNull() & there if path in read else there
+
+    def no(path: str, pattern: str) -> Column:
+        """Present, and neither the object or list it should be nor of a type that ``pattern`` allows."""
+        return read[path].isNull() & _wrong(_at(doc, path), pattern)
+
+    store, payment, loyalty, metadata = (read[p] for p in OBJECTS)
     (discounts, bad_discount), (taxes, bad_tax) = some("discounts")[0], some("taxes")[0]
     return [
-        *[(f"{field} is required", _missing(doc, field)) for field in REQUIRED],
-        ("store must be an object", _wrong(doc, "store", "^OBJECT")),
-        (
-            "store.name is required",
-            F.coalesce(_is(_kind(doc, "store"), "^OBJECT"), F.lit(False)) & _missing(doc, "store.name"),
-        ),
-        ("store.name must be text", _wrong(doc, "store.name", "^STRING$")),
+        *[(f"{field} is required", absent(field)) for field in REQUIRED],
+        ("store must be an object", no("store", "^OBJECT")),
+        ("store.name is required", store.isNotNull() & store["name"].isNull()),
+        ("store.name must be text", _wrong(store["name"], "^STRING$")),
         (
             "store fields must be text or null",
-            _any(
-                *[
-                    _wrong(doc, f"store.{f}", NULL_OR_TEXT)
-                    for f in ("branch", "address", "phone", "vat_number")
-                ]
-            ),
+            _any(*[_wrong(store[f], NULL_OR_TEXT) for f in ("branch", "address", "phone", "vat_number")]),
         ),
-        ("date must be text", _wrong(doc, "date", "^STRING$")),
+        ("date must be text", _wrong(_at(doc, "date"), "^STRING$")),
         (
             "header fields must be text or null",
-            _any(*[_wrong(doc, f, NULL_OR_TEXT) for f in NULLABLE_TEXT]),
+            _any(*[_wrong(_at(doc, f), NULL_OR_TEXT) for f in NULLABLE_TEXT]),
         ),
-        ("items must be a list", _wrong(doc, "items", "^ARRAY")),
-        ("items must not be empty", F.coalesce(F.size(flags["items"]) == 0, F.lit(False))),
+        ("items must be a list", no("items", "^ARRAY")),
+        ("items must not be empty", F.coalesce(F.size(read["items"]) == 0, F.lit(False))),
         *some("items"),
-        (discounts, _wrong(doc, "discounts", "^ARRAY") | bad_discount),
-        (taxes, _wrong(doc, "taxes", "^ARRAY") | bad_tax),
-        ("total must be a number", _wrong(doc, "total", NUMBER)),
-        ("subtotal must be a number or null", _wrong(doc, "subtotal", NULL_OR_NUMBER)),
+        (discounts, no("discounts", "^ARRAY") | bad_discount),
+        (taxes, no("taxes", "^ARRAY") | bad_tax),
+        ("total must be a number", _wrong(_at(doc, "total"), NUMBER)),
+        ("subtotal must be a number or null", _wrong(_at(doc, "subtotal"), NULL_OR_NUMBER)),
         (
             "currency must be three capitals",
-            _wrong(doc, "currency", "^STRING$") | _off_pattern(doc, "currency", "^[A-Z]{3}$"),
+            _wrong(_at(doc, "currency"), "^STRING$") | _off_pattern(_at(doc, "currency"), "^[A-Z]{3}$"),
         ),
-        ("payment must be an object", _wrong(doc, "payment", "^OBJECT")),
-        ("payment.method is not known", _not_in(doc, "payment.method", PAYMENT_METHODS)),
+        ("payment must be an object", no("payment", "^OBJECT")),
+        ("payment.method is not known", _not_in(payment["method"], PAYMENT_METHODS)),
         (
             "payment.card_last4 must be four digits or null",
-            _wrong(doc, "payment.card_last4", NULL_OR_TEXT)
-            | _off_pattern(doc, "payment.card_last4", "^[0-9]{4}$"),
+            _wrong(payment["card_last4"], NULL_OR_TEXT) | _off_pattern(payment["card_last4"], "^[0-9]{4}$"),
         ),
         (
             "payment amounts must be numbers or null",
-            _any(*[_wrong(doc, f"payment.{f}", NULL_OR_NUMBER) for f in ("amount_tendered", "change_given")]),
+            _any(*[_wrong(payment[f], NULL_OR_NUMBER) for f in ("amount_tendered", "change_given")]),
         ),
         (
             "loyalty is malformed",
             _any(
-                _wrong(doc, "loyalty", "^(OBJECT|VOID)"),
-                *[_wrong(doc, f"loyalty.{f}", "^STRING$") for f in ("program", "card_id_masked")],
-                *[_wrong(doc, f"loyalty.{f}", NUMBER) for f in ("points_earned", "points_balance")],
+                no("loyalty", "^(OBJECT|VOID)"),
+                *[_wrong(loyalty[f], "^STRING$") for f in ("program", "card_id_masked")],
+                *[_wrong(loyalty[f], NUMBER) for f in ("points_earned", "points_balance")],
             ),
         ),
         (
             "metadata is malformed",
             _any(
-                _wrong(doc, "metadata", "^OBJECT"),
-                _not_in(doc, "metadata.source", SOURCES),
-                *[_wrong(doc, f"metadata.{f}", "^STRING$") for f in ("annotator", "captured_at")],
-                *[_wrong(doc, f"metadata.{f}", NULL_OR_TEXT) for f in ("device", "notes", "image_path")],
+                no("metadata", "^OBJECT"),
+                _not_in(metadata["source"], SOURCES),
+                *[_wrong(metadata[f], "^STRING$") for f in ("annotator", "captured_at")],
+                *[_wrong(metadata[f], NULL_OR_TEXT) for f in ("device", "notes", "image_path")],
             ),
         ),
     ]
@@ -212,16 +226,18 @@ def _rules(doc: Column, flags: dict[str, Column]) -> list[tuple[str, Column]]:
 def violations(df: DataFrame, json: str = "json", name: str = "violations") -> DataFrame:
     """Adds every rule message the JSON text breaks, in rule order; empty when valid.
 
-    The text is parsed once per row and each list is walked once.
+    The text is parsed once per row, and each list and object of it is read once.
     """
-    flags = {path: F.col(f"_{path}") for path in LISTS}
-    parsed = df.withColumn("_doc", F.try_parse_json(json))
-    walked = parsed.withColumns({f"_{p}": _element_flags(F.col("_doc"), p) for p in LISTS})
-    broken = F.array_compact(
-        F.array(*[F.when(test, F.lit(msg)) for msg, test in _rules(F.col("_doc"), flags)])
+    names = [*LISTS, *OBJECTS]
+    doc, read = F.col("_doc"), {path: F.col(f"_{path}") for path in names}
+    walked = df.withColumn("_doc", F.try_parse_json(json)).withColumns(
+        {f"_{p}": _element_flags(doc, p) for p in LISTS}
+        | {f"_{p}": F.try_variant_get(doc, f"$.{p}", _struct(fields)) for p, fields in OBJECTS.items()}
+        | {"_object": F.try_variant_get(doc, "$", "struct<date:variant>").isNotNull()}
     )
-    checked = F.when(_not_object(F.col("_doc")), F.array(F.lit("not a JSON object"))).otherwise(broken)
-    return walked.withColumn(name, checked).drop("_doc", *[f"_{p}" for p in LISTS])
+    broken = F.array_compact(F.array(*[F.when(test, F.lit(msg)) for msg, test in _rules(doc, read)]))
+    checked = F.when(~F.col("_object"), F.array(F.lit("not a JSON object"))).otherwise(broken)
+    return walked.withColumn(name, checked).drop("_doc", "_object", *[f"_{p}" for p in names])
 
 
 def validate(df: DataFrame, json: str = "json") -> DataFrame:
@@ -234,7 +250,7 @@ def presence(json: Column) -> dict[str, Column]:
     doc = F.try_parse_json(json)
 
     def there(path: str) -> Column:
-        kind = _kind(doc, path)
+        kind = _kind(_at(doc, path))
         filled = F.coalesce(F.size(F.try_variant_get(doc, f"$.{path}", "array<variant>")) > 0, F.lit(True))
         return F.coalesce((kind != "VOID") & filled, F.lit(False))
 

@@ -141,3 +141,18 @@ def test_whole_receipts(spark):
         assert [item[n] for n in ("normalized_name", "sku", "category", "tax_code", "discount_applied")] == [None] * 5
     plain = N.normalize_sroie(spark.createDataFrame([(0, "{}")], "ordinal int, parsed_data string")).first().receipt
     assert plain.discounts == [] and plain.taxes == []
+
+
+def test_objects_are_read_once(spark):
+    """Lists and objects of a receipt are not built anew for every rule."""
+    checked = V.validate(spark.createDataFrame([("{}",)], "json string"))
+    plan = checked._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("$.store") <= 3 and plan.count("$.payment") <= 3  # the fields, and what else it is
+    texts = ['{"items":[null,3,{}],"store":null}', '{"store":[],"items":null,"loyalty":null,"payment":null}', "[]", "{"]
+    got = V.validate(spark.createDataFrame([(t,) for t in texts], "json string")).collect()
+    assert got[0].violations[:5] == [
+        "date is required", "total is required", "store must be an object", "items must hold objects",
+        "item needs line_number, name and total"]
+    assert got[1].violations == ["date is required", "total is required", "store must be an object",
+                                 "items must be a list", "payment must be an object"]
+    assert got[2].violations == got[3].violations == ["not a JSON object"]
