@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from collections.abc import Iterator
+from contextlib import suppress
+from itertools import groupby
+
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import basename
+from .shards import file_system
+
+_FOLDERS = 256  # of files written one by one
 
 
 def _files(spark: SparkSession, path: str, recursive: bool) -> DataFrame:
@@ -16,6 +23,28 @@ def _files(spark: SparkSession, path: str, recursive: bool) -> DataFrame:
     )
 
 
+def write_texts(rows: DataFrame, path: str) -> None:
+    """One file per ``name`` with its ``value`` lines, dealt over folders below ``path``.
+
+    Tasks write the files under their own names, so nothing is renamed; a repeated
+    task writes the same files again.
+    """
+    folder = F.format_string("%03d", F.pmod(F.xxhash64("name"), F.lit(_FOLDERS)))
+    placed = rows.select(folder.alias("folder"), "name", "value")
+    parts = 4 * rows.sparkSession.sparkContext.defaultParallelism
+
+    def write(part: Iterator[Row]) -> None:
+        system, root = file_system(path)
+        for (folder, name), lines in groupby(part, key=lambda row: (row.folder, row.name)):
+            with suppress(FileExistsError):
+                system.create_dir(f"{root}/{folder}", recursive=True)
+            with system.open_output_stream(f"{root}/{folder}/{name}") as out:
+                for line in lines:
+                    out.write(f"{line.value}\n".encode())
+
+    placed.repartition(parts, "folder", "name").sortWithinPartitions("folder", "name").foreachPartition(write)
+
+
 def read_images(spark: SparkSession, path: str, recursive: bool = True) -> DataFrame:
     """``path, modificationTime, length, content, name``."""
     return _files(spark, path, recursive).withColumn("name", basename(F.col("path")))

@@ -233,6 +233,14 @@ def test_buffered_epochs(spark, tmp_path):
         shards.read_shards(spark, out, seed="1", buffer=0)
 
 
+def test_texts_as_files(spark, tmp_path):
+    rows = spark.createDataFrame([(f"k={i % 400}.txt", f"text {i % 400}") for i in range(800)], "name string, value string")
+    images.write_texts(rows, f"{tmp_path}/in")
+    found = images.read_images(spark, f"{tmp_path}/in").select("name", F.decode("content", "UTF-8").alias("text")).collect()
+    assert sorted((r.name, r.text) for r in found) == sorted((f"k={i}.txt", f"text {i}\n" * 2) for i in range(400))
+    assert len(os.listdir(tmp_path / "in")) <= images._FOLDERS  # folders do not grow with the files
+
+
 def test_shuffle_buffer_against_brute_force():
     draws = [2, 0, 1, 1, 0, 0]
     queue = iter(draws)
