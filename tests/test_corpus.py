@@ -233,6 +233,15 @@ def test_buffered_epochs(spark, tmp_path):
         shards.read_shards(spark, out, seed="1", buffer=0)
 
 
+def test_many_shards_share_a_task(spark, tmp_path):
+    out = f"{tmp_path}/shards"
+    _numbered(spark, out)
+    reader = shards._Reader({"path": out, "tasks": "2"}, ["shard_id", "idx"])
+    parts = reader.partitions()
+    assert [[s.number for s in p.shards] for p in parts] == [[0, 1], [2]]
+    assert [row for p in parts for row in reader.read(p)] == [(s, i) for s in range(3) for i in range(20)]
+
+
 def test_texts_as_files(spark, tmp_path):
     rows = spark.createDataFrame([(f"k={i % 400}.txt", f"text {i % 400}") for i in range(800)], "name string, value string")
     images.write_texts(rows, f"{tmp_path}/in")
