@@ -325,3 +325,19 @@ def test_retry_fallback(spark):
     df = spark.createDataFrame(rows, "k int, attempt int, status string, payload string")
     got = {r.k: (r.payload, r.parse_status, r.retried) for r in J.retry_fallback(df, "k").collect()}
     assert got == {1: ("b", "ok", True), 2: ("{}", "failed", True), 3: ("a", "ok", False)}
+
+
+def test_a_batch_of_files_is_looked_up_by_few_tasks(spark, tmp_path):
+    inbox = tmp_path / "in"
+    inbox.mkdir()
+    for i in range(300):
+        (inbox / f"{i}.png").write_bytes(b"x")
+    status, before = spark.sparkContext.statusTracker(), spark.conf.get(stream._LISTING_TASKS)
+    seen = set(status.getJobIdsForGroup())
+    with stream.few_listing_tasks(spark):
+        query = stream.start_append(stream.submissions(spark, str(inbox)), f"{tmp_path}/out", f"{tmp_path}/ckpt")
+        query.awaitTermination()
+    jobs = set(status.getJobIdsForGroup(str(query.runId))) - seen
+    tasks = [status.getStageInfo(s).numTasks for j in jobs for s in status.getJobInfo(j).stageIds if status.getStageInfo(s)]
+    assert tasks and max(tasks) < 300 and spark.read.parquet(f"{tmp_path}/out").count() == 300
+    assert spark.conf.get(stream._LISTING_TASKS) == before
