@@ -270,21 +270,25 @@ def submissions(events: DataFrame) -> DataFrame:
         F.col("ts").cast("timestamp").alias("ts"))
 
 
-def timed_stream(df: DataFrame, time: str, path: str, batches: int, closing: int) -> DataFrame:
-    """A table as a stream of ``batches`` files in order of time, and ``closing`` later rows without a key, an hour apart.
+def timed_stream(
+    df: DataFrame, time: str, path: str, batches: int, closing: int, rows_per_file: int = 250_000
+) -> DataFrame:
+    """A table as a stream of ``batches`` batches in order of time, and ``closing`` later ones without a key, an hour apart.
 
-    The closing rows stand for the traffic that goes on and moves the clock.
+    The closing rows stand for the traffic that goes on and moves the clock. All
+    batches have the same number of files, which grows with the table.
     """
     spark = df.sparkSession
-    ends = df.agg(F.min(time).alias("a"), F.max(time).alias("b")).first()
+    ends = df.agg(F.min(time).alias("a"), F.max(time).alias("b"), F.count(time).alias("n")).first()
+    files = max(1, ends.n // (batches * rows_per_file))
     at = F.floor((F.unix_micros(time) - F.unix_micros(F.lit(ends.a))) * batches / (
         F.unix_micros(F.lit(ends.b)) - F.unix_micros(F.lit(ends.a)) + 1))
     for i in range(batches):
-        df.filter(at == i).coalesce(1).write.mode("append").parquet(path)
+        df.filter(at == i).repartition(files).write.mode("append").parquet(path)
     for i in range(1, closing + 1):
-        late = spark.range(1).select(*[
+        late = spark.range(0, files, 1, files).select(*[
             F.timestamp_add("HOUR", F.lit(i), F.lit(ends.b)).alias(f.name) if f.name == time
-            else (F.lit(-i).cast(f.dataType) if f.name == "job_id" else F.lit(b"0|tick").cast(f.dataType)).alias(f.name)
+            else (-(F.lit(i) + F.col("id") * closing).cast(f.dataType) if f.name == "job_id" else F.lit(b"0|tick").cast(f.dataType)).alias(f.name)
             for f in df.schema.fields])
-        late.coalesce(1).write.mode("append").parquet(path)
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+        late.write.mode("append").parquet(path)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", files).parquet(path)

@@ -203,6 +203,40 @@ def test_retries_wait_their_turn(spark, tmp_path):
     assert last == 0  # nobody waits any more
 
 
+def test_waiting_jobs_share_the_state_of_few_buckets(spark, tmp_path, monkeypatch):
+    """500 jobs that wait make two timers, not 500; pieces of a list, repeated and null jobs end as they did one by one."""
+    monkeypatch.setattr(life, "_HELD_ROWS", 100)
+    rows = [(i, str(i % 5), 0) for i in range(500)] + [(i, "0", 1) for i in range(500)] + [(None, "2", 1), (None, "2", 1)]
+    rows += [(-i, "0", 100 * i) for i in range(1, 7)]
+    sent = spark.createDataFrame(rows, "job_id int, n string, s int").select(
+        "job_id", F.encode("n", "UTF-8").alias("content"), F.timestamp_seconds("s").alias("ts"))
+    query = life.start_retrying(_files(spark, sent, f"{tmp_path}/in", order="ts"), "away", Away, f"{tmp_path}/o", f"{tmp_path}/c", buckets=2)
+    query.awaitTermination()
+    got = {}
+    for r in life.tries(spark, f"{tmp_path}/o").filter("job_id >= 0 OR job_id IS NULL").orderBy("job_id", "due", "attempt").collect():
+        got.setdefault(r.job_id, []).append((r.attempt, r.raw, r.waits))
+    for job, found in got.items():
+        fails = 2 if job is None else job % 5
+        once = [(k, f"after {k}" if k > fails else None, k <= fails and k < 4) for k in range(1, min(fails, 3) + 2)]
+        assert found == once + [(1, "after 1", False)] * (fails == 0), job  # a repetition while a job waits changes nothing
+    assert len(got) == 501
+    timers = [p["stateOperators"][0]["customMetrics"]["numRegisteredTimers"] for p in query.recentProgress if p["stateOperators"]]
+    assert 0 < max(timers) <= 2
+
+
+def test_a_timed_stream_has_files_by_its_size(spark, tmp_path):
+    from tallyroll.plans import raw
+
+    sent = spark.range(1000).select(F.col("id").alias("job_id"), F.encode(F.lit("0|x"), "UTF-8").alias("content"), F.timestamp_seconds("id").alias("ts"))
+    seen = []
+    stream_of = raw.timed_stream(sent, "ts", f"{tmp_path}/in", 4, 2, rows_per_file=50)
+    stream_of.writeStream.foreachBatch(lambda df, _: seen.append((df.filter("job_id >= 0").count(), df.agg(F.min("ts"), F.max("ts")).first()))).option(
+        "checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start().awaitTermination()
+    assert [n for n, _ in seen] == [250] * 4 + [0] * 2
+    assert len(list((tmp_path / "in").glob("*.parquet"))) == 6 * 5
+    assert all(a[1][1] < b[1][0] for a, b in zip(seen, seen[1:]))
+
+
 class Half(Runner):
     """Answers in prose first; raises on some images."""
 
