@@ -510,8 +510,8 @@ def remap_serving(spark: SparkSession, sf_dir: str) -> DataFrame:
 def union_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Both corpora together, counted by source."""
     gt = fx.receipts_gt(spark, sf_dir)
-    sroie = N.normalize_sroie(_sroie_snapshot(spark, gt)).filter("error IS NULL")
-    cord = N.normalize_cord(_cord_snapshot(spark, gt)).filter("error IS NULL")
+    sroie = N.readable(N.normalize_sroie(_sroie_snapshot(spark, gt)))
+    cord = N.readable(N.normalize_cord(_cord_snapshot(spark, gt)))
     common = lambda df: df.withColumn(
         "receipt",
         F.struct(

@@ -156,3 +156,28 @@ def test_objects_are_read_once(spark):
     assert got[1].violations == ["date is required", "total is required", "store must be an object",
                                  "items must be a list", "payment must be an object"]
     assert got[2].violations == got[3].violations == ["not a JSON object"]
+
+
+def test_readable_receipts_are_parsed_once(spark):
+    """The rows without an error, repeated ones too; no text is parsed in a filter and again after it."""
+    texts = ['{"menu": {"nm": "a", "price": "1"}, "total": {"total_price": "1"}}'] * 2 + ["nope", '{"sub_total": null}', None]
+    df = rows(spark, texts, "ground_truth")
+    read = N.readable(N.normalize_cord(df))
+    assert [r.receipt.total for r in read.collect()] == [1.0, 1.0]
+    assert read.collect() == N.normalize_cord(df).filter("error IS NULL").select("receipt").collect()
+    plan = read._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Filter" in line and "_json" in line]
+
+
+def test_amounts_take_one_search_each(spark):
+    """What an earlier search left in a number's text is not searched again."""
+    from tallyroll.functions import amounts as A
+
+    df = spark.createDataFrame([("Rp. 1.000,50",), ("+-5",), ("Rp.x.5",), ("1,2.3,4",), (".",)], "t string")
+    read = df.select(A.cord_number(F.col("t")).alias("c"), A.serving_number(F.col("t")).alias("s"))
+    assert [tuple(r) for r in read.collect()] == [(1.0005, 1000.5), (None, 5.0), (0.5, 0.0), (12.34, 12.34), (None, 0.0)]
+    plan = read._jdf.queryExecution().analyzed().toString()
+    assert "regexp_extract" not in plan and "RLIKE" not in plan
+    plain = [("45,000",), ("45.000,50",), ("1..",), ("1.2.",), ("1.2.3",), ("5,",), (".5",), (",5",), ("٣",)]
+    found = spark.createDataFrame(plain, "t string").select(A.locale_number(F.col("t"))).collect()
+    assert [r[0] for r in found] == [45000.0, 45000.5, 1.0, 1.2, 0.0, 5.0, 5.0, 5.0, 0.0]
