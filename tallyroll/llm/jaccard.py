@@ -8,7 +8,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import written
@@ -22,6 +22,7 @@ _BITS = [f"b{i}" for i in range(_WORDS)]
 _STAR_KEYS = 6  # lists of each node in the second round of stars
 _LIST_BOUND = 64  # lists longer than this are moved to the end of the order
 _MOST_HEAVY = 1 << 17  # at most so many keys are moved
+_BEFORE = 4  # shared keys before an entry that it remembers
 _SCAN_SHARE = 50  # list entries that can be scanned for the cost of one shuffled row
 
 
@@ -153,8 +154,8 @@ def link_documents(
 
     1. *Order.* Keys are 64-bit shingle hashes in hash order, but keys that stand
        among the first of many sets come last, so lists of passages that many texts
-       share are not scanned. At most 131,072 keys are moved: a key must be first in
-       at least that share of all entries. The order changes cost, never results.
+       share are not scanned. These are the keys that are first in more than 64 texts, or of
+       them the most frequent, at most 131,072. The order changes cost, never results.
     2. *Copies.* Rows of equal sets are one node (64-bit hash of the set) from here on.
     3. *Stars.* In each list of first and second keys every node is checked against
        the one of lowest id. This joins most of a group of near copies with one
@@ -163,7 +164,8 @@ def link_documents(
        of the largest label of each of its first lists.
     4. *Large sets* scan inverted lists: a set needs its first n - t + 1 keys listed
        (t: least overlap) to meet each partner. A pair is a candidate where its first
-       common key can be (no equal predecessor), positions, sizes and parity bitmaps allow.
+       common key can be (none among the four shared keys before it on either side), positions, sizes
+       and parity bitmaps allow.
        *Small sets* among each other meet in the two-key subsets of their first
        n - t + 2 keys instead. The boundary is the largest size whose subsets cost less
        than its lists, by the measured mean list length.
@@ -182,10 +184,7 @@ def link_documents(
     id_type = base.schema["doc_id"].dataType.simpleString()
     firsts = base.select(F.col("text").cast("binary")).mapInArrow(_first_keys(shingle, percent), "key long")
     counts = written(firsts.groupBy("key").count().filter(F.col("count") > _LIST_BOUND), "key-counts")
-    total = counts.agg(F.sum("count")).first()[0] or 0
-    bound = max(_LIST_BOUND, total // _MOST_HEAVY)  # so that no more than _MOST_HEAVY keys can pass
-    heavy = np.sort(np.array([r.key for r in counts.filter(F.col("count") > bound).select("key").collect()],
-                             np.int64).view(np.uint64))
+    heavy = np.sort(np.array([r.key for r in _heaviest(counts, _MOST_HEAVY).select("key").collect()], np.int64).view(np.uint64))
 
     ddl = (f"doc_id {id_type}, th long, node long, n int, keys array<long>, " + ", ".join(f"{c} long" for c in _BITS)
            + ", wide array<long>")
@@ -231,21 +230,13 @@ def link_documents(
 
     about = nodes.select("row", "node", "n", *_BITS).join(labels, "node")
     listed = nodes.select(
-        "row", F.posexplode(F.slice("keys", 1, F.size("keys") - (F.col("n") > 1).cast("int"))).alias("i", "key"), "keys",
-    ).withColumn("prev", F.when(F.col("i") > 0, F.get("keys", F.col("i") - 1))).drop("keys")
-    lists = _of_shared_keys(listed, about)
+        "row", F.posexplode(F.slice("keys", 1, F.size("keys") - (F.col("n") > 1).cast("int"))).alias("i", "key"))
+    before = Window.partitionBy("row").orderBy("i").rowsBetween(-_BEFORE, -1)
+    lists = _of_shared_keys(listed, about, before=F.collect_list("key").over(before))
     scans = lists.groupBy("key").count().agg(F.sum(F.col("count") ** 2)).first()[0] or 0
     entries = nodes.agg(F.sum(F.size("keys") - (F.col("n") > 1).cast("int"))).first()[0] or 1
     boundary = _boundary(scans / entries, percent)
-    a, b = lists.alias("a"), lists.alias("b")
-    chosen = [F.col("a.node").alias("a"), F.col("b.node").alias("b"), F.col("a.label").alias("la"),
-              F.col("b.label").alias("lb"), F.least("a.n", "b.n").alias("least_n"), _apart("a", "b").alias("apart")]
-    scanned = a.join(
-        b, (F.col("a.key") == F.col("b.key")) & (F.col("a.node") < F.col("b.node"))
-        & (F.col("a.label") != F.col("b.label")) & (F.greatest("a.n", "b.n") > boundary)
-        & (F.col("a.i") + F.col("b.i") <= _most_apart(percent, F.col("a.n"), F.col("b.n")))
-        & (F.col("a.prev").isNull() | F.col("b.prev").isNull() | (F.col("a.prev") != F.col("b.prev")))
-        & _may_link(percent, "a", "b")).select(*chosen)
+    scanned = _scanned(lists, boundary, percent)
     light = nodes.filter((F.col("n") > 1) & (F.col("n") <= boundary))
     pairs_of_keys = F.flatten(F.transform("keys", lambda x, i: F.transform(
         F.slice("keys", i + 2, F.size("keys")), lambda y: F.xxhash64(x, y))))
@@ -253,7 +244,7 @@ def link_documents(
     a, b = subsets.alias("a"), subsets.alias("b")
     met = a.join(
         b, (F.col("a.key") == F.col("b.key")) & (F.col("a.node") < F.col("b.node"))
-        & (F.col("a.label") != F.col("b.label")) & _may_link(percent, "a", "b")).select(*chosen)
+        & (F.col("a.label") != F.col("b.label")) & _may_link(percent, "a", "b")).select(*_chosen())
     met = written(scanned.union(met).distinct(), "met")
     candidates = written(tight(met).withColumn("pair", F.monotonically_increasing_id()), "candidates")
     ends = fetched(candidates)
@@ -341,15 +332,50 @@ def _second_stars(nodes: DataFrame, labels: DataFrame, percent: int) -> DataFram
         F.col("m.centre").alias("a"), F.col("m.node").alias("b"), F.least("m.n", "c.n").alias("least_n"))
 
 
-def _of_shared_keys(listed: DataFrame, about: DataFrame) -> DataFrame:
-    """List entries whose key stands in two nodes or more, with what is known of the nodes.
+def _chosen() -> list[Column]:
+    """Columns of a pair of list entries ``a`` and ``b`` that a candidate keeps."""
+    return [F.col("a.node").alias("a"), F.col("b.node").alias("b"), F.col("a.label").alias("la"),
+            F.col("b.label").alias("lb"), F.least("a.n", "b.n").alias("least_n"), _apart("a", "b").alias("apart")]
+
+
+def _scanned(lists: DataFrame, boundary: int, percent: int) -> DataFrame:
+    """Pairs of two labels in the same list, one of them a large set; few are met in more than one list.
+
+    A pair whose entries both remember one key was met in the list of that key or of an
+    earlier one: places only grow from there. Its first common key stands in neither memory.
+    """
+    a, b = lists.alias("a"), lists.alias("b")
+    return a.join(
+        b, (F.col("a.key") == F.col("b.key")) & (F.col("a.node") < F.col("b.node"))
+        & (F.col("a.label") != F.col("b.label")) & (F.greatest("a.n", "b.n") > boundary)
+        & (F.col("a.i") + F.col("b.i") <= _most_apart(percent, F.col("a.n"), F.col("b.n")))
+        & _may_link(percent, "a", "b") & ~F.arrays_overlap("a.before", "b.before")).select(*_chosen())
+
+
+def _heaviest(counts: DataFrame, most: int) -> DataFrame:
+    """The rows of ``key, count`` with the highest counts: all if they are no more than ``most``, else at most ``most``.
+
+    Counts are told apart by quarters of a power of two, so the number kept is found from a few hundred rows.
+    """
+    graded = counts.withColumn("grade", F.floor(4 * F.log2("count")))
+    least, kept = 0, 0
+    for grade, keys in sorted(map(tuple, graded.groupBy("grade").count().collect()), reverse=True):
+        kept += keys
+        if kept > most:
+            least = grade + 1
+            break
+    return graded.filter(F.col("grade") >= least).select(*counts.columns)
+
+
+def _of_shared_keys(listed: DataFrame, about: DataFrame, **more: Column) -> DataFrame:
+    """List entries whose key stands in two nodes or more, with ``more`` columns over them and what is known of the nodes.
 
     Entries are shuffled bare, since most keys are rare; the few that stay are
     completed and written, as they are joined with themselves.
     """
     dealt = listed.repartition("key")
     shared = dealt.groupBy("key").agg(F.min("row").alias("lo"), F.max("row").alias("hi")).filter("lo <> hi").select("key")
-    return written(dealt.join(shared, "key", "left_semi").join(about, "row"), "lists")
+    return written(dealt.join(shared, "key", "left_semi").withColumns(more).join(about, "row"), "lists")
 
 
 def _boundary(list_length: float, percent: int) -> int:

@@ -114,3 +114,26 @@ def test_thresholds_that_would_lose_links_are_errors():
     for percent in (0, 50, 101):
         with pytest.raises(ValueError, match="percent"):
             jaccard.link_documents(None, percent=percent)
+
+
+def test_a_pair_is_met_in_few_lists(spark, monkeypatch):
+    """Unlinked texts with most shingles in common share hundreds of first keys; a pair is not met once for each."""
+    rnd, met, scanned = random.Random(3), [], jaccard._scanned
+    monkeypatch.setattr(jaccard, "_scanned", lambda *a: met.append(scanned(*a)) or met[0])
+    base = [f"w{i}" for i in range(3000)]
+    rows = []
+    for i in range(12):
+        at = rnd.sample(range(3000), 90)
+        rows.append((i, " ".join(f"n{rnd.randrange(10**9)}" if k in at else w for k, w in enumerate(base))))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = jaccard.link_documents(docs)
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()) == slow(rows, 4, 85)
+    assert 0 < met[0].count() <= 2 * met[0].distinct().count()
+
+
+def test_frequent_keys_move_however_large_the_corpus(spark):
+    rows = [(i, 100) for i in range(10)] + [(10, 10**9)]
+    counts = spark.createDataFrame(rows, "key long, count long")
+    assert sorted(r.key for r in jaccard._heaviest(counts, 1 << 17).collect()) == list(range(11))
+    assert [r.key for r in jaccard._heaviest(counts, 10).collect()] == [10]  # equal counts move together or not at all
+    assert jaccard._heaviest(counts.limit(0), 10).collect() == []
