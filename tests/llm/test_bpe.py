@@ -98,3 +98,32 @@ def test_linear_time():
     for unit in ("a", "ab", "=-", "etaoin"):
         took(unit * 1000)
         assert took(unit * 80_000) < 60 * max(took(unit * 8_000), 0.01)
+
+
+def test_many_texts_share_the_work(monkeypatch):
+    """Short pieces of all texts are merged together, a chunk that recurs in none again; results as the library's."""
+    own, _ = library(MULTI)
+    rnd, calls, merged = random.Random(8), [], bpe.Vocabulary._merged
+    monkeypatch.setattr(bpe.Vocabulary, "_merged", lambda self, pieces: calls.append(len(pieces)) or merged(self, pieces))
+    syllables = ["on", "er", "ß", "ción", "th", "ñ", "&&&", ".\n", "  ", "\t", " ", "é", "\u8a9e", " \n", "'s", "7", "\u0378", "\ua7cb"]
+    texts = ["".join(rnd.choice(syllables) for _ in range(rnd.randint(0, 60))) for _ in range(500)] + ["x" * 500, " ", "", "a b", " b"]
+    for space_starts in (True, False):
+        split = bpe.Splitter(open(MULTI, "rb").read(), public_tokenizers.PATTERN, bpe.newer_characters(), space_starts)
+        for _ in range(2):
+            got = [list(memoryview(ids).cast("i")) if ids else [] for ids in split.many(texts)]
+            assert got == [own.encode_ordinary(t) for t in texts]
+        assert [list(split(t)) for t in texts] == got
+    assert calls[0] > 1000
+
+
+def test_long_texts_and_patterns_without_spaces(monkeypatch):
+    own, _ = library(MULTI)
+    rnd = random.Random(9)
+    raw = open(MULTI, "rb").read()
+    monkeypatch.setattr(bpe, "_BLOCK", 50)
+    monkeypatch.setattr(bpe, "_MOST_CHUNKS", 20)
+    texts = ["".join(rnd.choice(["on", "er ", " th", "\n", "  ", "é"]) for _ in range(300)) for _ in range(20)]
+    split = bpe.Splitter(raw, public_tokenizers.PATTERN, "", True)
+    assert [list(memoryview(ids).cast("i")) for ids in split.many(texts)] == [own.encode_ordinary(t) for t in texts]
+    words = bpe.Splitter(raw, r"\w+", "", True)  # no match holds a space
+    assert list(words("the cat, the mat")) == [i for w in ("the", "cat", "the", "mat") for i in own.encode_ordinary(w)]
