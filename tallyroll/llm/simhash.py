@@ -75,7 +75,8 @@ def within_radius(prints: DataFrame, queries: DataFrame, radius: int = 6) -> Dat
     Both hold distinct ``hi, lo``. Prints are cut into 8 blocks, and at most 6 differing
     bits leave two blocks alike. Each of the 28 tables brings another two blocks to
     the front as its key. A pair is taken from one table only, that of its first two
-    equal blocks, so no pair is met twice.
+    equal blocks, so no pair is met twice. The tables are never broadcast: Spark sizes
+    them as if each print still were one row.
     """
     if radius > _BLOCKS - 2:
         raise ValueError(f"the tables are complete up to radius {_BLOCKS - 2}")
@@ -96,7 +97,7 @@ def within_radius(prints: DataFrame, queries: DataFrame, radius: int = 6) -> Dat
     first_two = (equal - rest) + (rest - rest.bitwiseAND(rest - 1))
     distance = hamming((F.col("hi"), F.col("lo")), (F.col("qhi"), F.col("qlo")))
     met = tables(prints.select("hi", "lo"), "hi", "lo").join(
-        tables(q, "qhi", "qlo").withColumnsRenamed({"t": "qt", "front": "qfront"}),
+        tables(q, "qhi", "qlo").withColumnsRenamed({"t": "qt", "front": "qfront"}).hint("merge"),
         (F.col("t") == F.col("qt")) & (F.col("front") == F.col("qfront")) & (distance <= radius) & (first_two == F.col("t")))
     return met.select("qhi", "qlo", "hi", "lo", distance.alias("distance"))
 

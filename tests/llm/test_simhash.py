@@ -106,3 +106,14 @@ def test_near_classes_name_the_near_copies(spark):
     assert any(0 < m.distance <= 6 for m in asked[0].near_classes + asked[1].near_classes + asked[2].near_classes)
     pairs = Counter((r.doc_id, r.distance, r.class_id, r.fingerprint) for r in simhash.near_pairs(found).collect())
     assert pairs == Counter((r.doc_id, *m) for r in asked for m in r.near_classes)
+
+
+def test_block_tables_are_not_broadcast(spark):
+    """Each print is 28 rows of the tables, which Spark sizes as one: a broadcast would fill the driver."""
+    half = lambda salt: F.xxhash64("id", F.lit(salt))
+    prints = spark.range(500).select(half(1).alias("hi"), half(2).alias("lo"))
+    queries = prints.filter("pmod(hi, 5) = 0")
+    found = simhash.within_radius(prints, queries)
+    assert found.filter("distance = 0").count() == queries.count()
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
