@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tallyroll.functions import similarity
+from tallyroll.functions import responses, similarity
 from tallyroll.functions.similarity import best_candidates, greedy_pairs, token_sort_ratio
 from tallyroll.operators import compare as C
 from tallyroll.operators import jobs as J
@@ -218,3 +218,25 @@ def test_published_overall(spark):
     f1 = {"store_name": 0.0, "total": 1.0, "item_name": 0.975, "item_total": 0.925, "item_qty": 0.9}
     mean = spark.range(1).select(S.overall_f1(lambda f: F.lit(f1[f]))).first()[0]
     assert mean == pytest.approx(0.76)
+
+
+def test_json_is_parsed_and_its_leaves_read_once(spark):
+    """Lambdas share nothing, so whatever an expression names twice is worked out twice."""
+    answer = F.col("answer")
+    plan = lambda c: spark.createDataFrame([("{}",)], "answer string").select(c.alias("c"))._jdf.queryExecution().optimizedPlan().toString()
+    parsed = plan(responses.parse_response(answer))
+    assert parsed.count("parse_json") + parsed.count("parseJson") == 1 and "json_array_length" not in parsed.lower()
+    assert plan(S.scorable_json(answer)).count("variant_get") < 40
+
+
+def test_answers_that_are_one_object(spark):
+    cases = {
+        '{"a":1}': ("ok", '{"a":1}'), "  {}\n": ("ok", "{}"), '```json\n \t{"a":1}\n```': ("ok", ' \t{"a":1}'), '```\n{"a":1}': ("ok", '{"a":1}'),
+        "[1]": ("not_object", "{}"), '"{"': ("not_object", "{}"), " 7 ": ("not_object", "{}"), "null": ("invalid", "{}"), "": ("invalid", "{}"),
+        '{"a":1},': ("invalid", "{}"), '{"a":1} x': ("invalid", "{}"), '{"a":1}{}': ("invalid", "{}"), "{},{}": ("invalid", "{}"),
+        '{"a":1,"a":2}': ("invalid", "{}"), '{"a":NaN}': ("invalid", "{}"), "{": ("invalid", "{}"), None: ("invalid", "{}"),
+    }
+    rows = spark.createDataFrame([(t,) for t in cases], "t string").select("t", responses.parse_response(F.col("t")).alias("r")).collect()
+    for row in rows:
+        status, payload = cases[row.t]
+        assert row.r.status == status and row.r.payload == payload, row
