@@ -320,3 +320,11 @@ def test_report_scores_once(spark, tmp_path):
     assert spark.read.json(f"{tmp_path}/r/samples").count() == 50
     reports.write_report(scored.limit(0), ["receipt_id"], f"{tmp_path}/none")
     assert json.loads(spark.read.text(f"{tmp_path}/none/summary").first()[0])["overall_f1"] == 0.0
+
+
+def test_report_samples_are_compressed(spark, tmp_path):
+    df = spark.createDataFrame([(i, '{"total":1}') for i in range(20)], "receipt_id int, j string").select(
+        "receipt_id", S.scorable_json(F.col("j")).alias("pred"), S.scorable_json(F.col("j")).alias("gt"))
+    reports.write_report(S.score_receipts(df), ["receipt_id", F.struct("total").alias("scores")], f"{tmp_path}/r")
+    assert not list(tmp_path.glob("r/samples/*.json")) and list(tmp_path.glob("r/samples/*.json.gz"))
+    assert sorted(json.loads(r[0])["receipt_id"] for r in spark.read.text(f"{tmp_path}/r/samples").collect()) == list(range(20))
