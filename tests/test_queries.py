@@ -7,8 +7,10 @@ import pytest
 
 import __spark_entry__ as entry
 import check
-from tallyroll.plans import fixtures as fx
+from tallyroll.operators import scoring
 from tallyroll.operators.ordinals import dense_ordinal
+from tallyroll.plans import catalog
+from tallyroll.plans import fixtures as fx
 from tallyroll.plans.catalog import QUERIES
 
 SMALL = "/root/testdata/sf0.001"
@@ -104,3 +106,33 @@ def test_ordinal_computes_its_input_once(spark):
     numbered = dense_ordinal(rows, "id", unique=True)
     assert [tuple(r) for r in numbered.orderBy("id").collect()] == [(i, i) for i in range(1000)]
     assert calls.value <= 2000  # once to sample the range, once to write
+
+
+def test_gathered_lines_are_shared(spark):
+    """Truth and predictions share the gathered lists, and what is dealt by the order is dealt by the receipt."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        gt = fx.receipts_gt(spark, SMALL)
+        pred = fx.predictions(fx.receipts_pred(gt, fx.MODELS[:1]))
+        pairs = scoring.pair_models(fx.truth(gt), pred, list(fx.MODELS[:1]))
+        pairs.write.format("noop").mode("overwrite").save()
+        pairs.collect()
+        plan = pairs._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    final = plan[: plan.index("== Initial Plan ==")]
+    assert "hashpartitioning(receipt_id" not in final
+    assert final.count("hashpartitioning(l_partkey") == 2 and "ReusedExchange" in final  # lines and parts, once each
+
+
+def test_shards_move_texts_once(spark, tmp_path, monkeypatch):
+    """Only narrow rows are numbered; the JSON texts go to their shards in one shuffle."""
+    wide = []
+
+    def ordinal(df, *order, **options):
+        wide.append(df.columns)
+        return dense_ordinal(df, *order, **options)
+
+    monkeypatch.setattr("tallyroll.operators.corpus.dense_ordinal", ordinal)
+    catalog._packed(spark, SMALL, str(tmp_path / "s"))
+    assert len(wide) == 1 and not {"json", "items"} & set(wide[0])
